@@ -1,13 +1,86 @@
-"""Corpus pipeline: language ID, near-duplicate join, substring dedup, decontamination, packing."""
+"""Corpus pipeline: language ID, near-duplicate join, substring dedup, decontamination, packing.
+
+Each stage is a function of (spark, docs, sf_dir); its result is written as
+Parquet in the shared folder and read again as the next stage's docs.  All but
+the last return the columns of ``documents``.
+
+Rows with a null id pass the near-duplicate and passage stages untouched, as
+nothing can name them.  Texts that are null or have no letter go in the first
+stage.  An empty table passes every stage.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from palimpsest.llm import decontaminate, language, ngram_join, packing, passages
+from palimpsest.llm._common import written
+
+#: A document is rejected when the posterior of its language is lower than this.
+LEAST_SCORE = 0.5
+
+
+def identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep documents in a language of the labels; learned from all labelled documents."""
+    judged = language.predict(docs.withColumn("__in", F.col("text")), "__in", language.train(docs, "text", "lang"), docs.columns)
+    return judged.where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select(*docs.columns)
+
+
+def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows whose doc_id is not among ``ids`` (column gone)."""
+    return docs.join(ids, docs["doc_id"] == F.col("gone"), "left_anti")
+
+
+def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep the document with the smallest id of each class of near duplicates (five words, 0.8)."""
+    classes = ngram_join.jaccard_classes(docs, "doc_id", "text", width=5, num=80, den=100)
+    gone = written(classes.where("doc_id is not null and component_id is not null and doc_id != component_id").select(F.col("doc_id").alias("gone")).distinct(), "near-copies")
+    kept = _without(docs, gone)
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    ids = written(again.select("doc_id"), "repeated-ids").withColumnRenamed("doc_id", "gone")
+    once = kept.join(ids, kept["doc_id"] == F.col("gone"), "left_semi").dropDuplicates(["doc_id"])
+    return _without(kept, ids).unionByName(once)
+
+
+def without_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cut the passages that a document with a smaller id has too; a document of which nothing is left goes."""
+    found = passages.repeated_passages(docs, "doc_id", "text")
+    spans = written(found.groupBy(F.col("doc_id").alias("cut")).agg(F.array_sort(F.collect_list(F.struct("start", "n_words"))).alias("spans")), "spans")
+    cut = F.udf(lambda text, runs: passages.without_spans(text, [(r.start, r.n_words) for r in runs]), "string")
+    hit = docs.join(spans, docs["doc_id"] == F.col("cut"), "left")
+    text = F.when(F.col("cut").isNull(), F.col("text")).otherwise(cut(F.coalesce("text", F.lit("")), F.coalesce("spans", F.array().cast(spans.schema["spans"].dataType))))
+    out = hit.withColumn("__new", text)
+    columns = [F.col("__new").alias("text") if c == "text" else F.when(F.col("cut").isNull(), docs[c]).otherwise(F.length("__new").cast(docs.schema[c].dataType)).alias(c) if c == "n_chars" else docs[c] for c in docs.columns]
+    return out.where(F.col("cut").isNull() | F.col("__new").rlike(r"[^\x20\x09-\x0D]")).select(*columns)
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item."""
+    found = decontaminate.contamination(docs, "doc_id", "text", spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id", "text")
+    return _without(docs, written(found.select(F.col("doc_id").alias("gone")).distinct(), "contaminated"))
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents with their sequence and offset."""
+    return packing.pack(docs, "doc_id", "text")
+
 
-STAGES: list = []
+STAGES = [
+    ("language_id", identified),
+    ("ngram_jaccard_join", deduplicated),
+    ("substring_dedup", without_passages),
+    ("benchmark_decontamination", decontaminated),
+    ("best_fit_packing", packed),
+]
 #: Tokenizing and fitted models have no SQL form; the tests hold run() against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Entries a worker keeps in its word cache before it starts afresh.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -31,6 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def tuned(spark: SparkSession) -> None:
+    """Small Arrow batches, so that a worker's memory stays bounded on long texts; kept if set already."""
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
 def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
 
@@ -103,6 +110,15 @@ def unplanes(data: bytes, dtype) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).reshape(-1).view(dtype)
 
 
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted 64-bit keys as planes of their differences."""
+    return planes(np.diff(keys, prepend=np.uint64(0)))
+
+
+def unpacked_keys(data: bytes) -> np.ndarray:
+    return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
+
+
 def table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     """An Arrow batch of rows; ``schema`` lists name:type pairs of Arrow type aliases."""
     fields = [x.split(":") for x in schema.split()]

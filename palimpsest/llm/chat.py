@@ -29,7 +29,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ddl, table
+from ._common import ddl, table, tuned
 
 START, END = "<|im_start|>", "<|im_end|>"
 CHUNK = 1 << 20
@@ -79,6 +79,7 @@ def format_events(events: DataFrame, loss_role: str = "assistant") -> DataFrame:
     ``events`` has columns conv, turn, seq, kind, role, text.  ``loss`` lists
     begin and end of each masked span, in code points of the chunk.
     """
+    tuned(events.sparkSession)
     order = ["conv", "turn", "seq", "kind", "role", "text"]
     dealt = events.select(*order).repartition("conv").sortWithinPartitions(*order)
 

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ddl, mixed, table
+from ._common import ddl, mixed, table, tuned
 
 BUCKETS, ORDERS, EVIDENCE = 1 << 15, (1, 2, 3), 64
 PIECE = 1 << 20
@@ -83,6 +83,7 @@ def pieces(texts: list[str | None]):
 
 def train(docs: DataFrame, text: str, label: str) -> tuple[list[str], np.ndarray]:
     """Languages and their log-probability matrix, the last column being the prior's."""
+    tuned(docs.sparkSession)
     schema = "label:string bucket:int n:long"
 
     def count(batches):

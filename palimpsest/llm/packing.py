@@ -16,19 +16,22 @@ the incumbent is returned, which holds every piece all the same.
 
 from __future__ import annotations
 
+import json
 import re
+import unicodedata
 import zlib
 from bisect import bisect_right
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import CACHE_WORDS, ddl, written
+from ._common import ddl, tuned, written
 
-CAPACITY, END_ID, NODES, WIDTH = 4096, 1, 4000, 6
+CAPACITY, END_ID, NODES, WIDTH, WORDS = 4096, 1, 4000, 6, 150_000
 VOCAB = "word_bpe_49k.json"
 #: Rows of one (length, salt) group; a length that a third of all rows have is spread over the salts.
 GROUP_ROWS = 200_000
@@ -44,33 +47,72 @@ def vocabulary_path(name: str = VOCAB) -> str:
 
 
 class Encoder:
-    """Ids of a text as little-endian bytes; words between white space are encoded once and remembered."""
+    """Ids of a text as little-endian bytes; words between white space are encoded once and remembered.
+
+    The merges of the vocabulary file are loaded as ranks over bytes, a word's
+    end being the byte 0xFF, which UTF-8 never has: merging it to the last byte
+    first gives the vocabulary's word-end symbols.
+    """
 
     def __init__(self, path: str):
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.model = Tokenizer.from_file(path)
+        spec = json.loads(self.model.to_str())
+        split = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        other = [b for b in range(256) if b not in own]
+        chars = {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
+        symbol = {b: c for c, b in chars.items()}
+
+        def raw(token: str) -> bytes:
+            word = token.removesuffix(suffix)
+            return bytes(chars[c] for c in word) + b"\xff" * (word != token)
+
+        ranks = {bytes([b]): b for b in range(256)} | {bytes([b, 255]): 256 + b for b in range(255)}
+        ids = [vocab[symbol[b]] for b in range(256)] + [vocab[symbol[b] + suffix] for b in range(255)]
+        for a, b in spec["model"]["merges"]:
+            ranks[raw(a) + raw(b)] = len(ids)
+            ids.append(vocab[a + b])
+        self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
+        self.split, self.ids = regex.compile(split), np.array(ids, "<u4")
         self.seen: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, texts: list[str]) -> None:
-        """Encode the words of a batch that are new."""
-        if len(self.seen) > CACHE_WORDS:
-            self.seen.clear()
-        new = sorted({w for t in texts for w in t.split()} - self.seen.keys())
-        for w, e in zip(new, self.model.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self.seen[w] = np.array(e.ids, "<u4").tobytes()
+    def word(self, word: str) -> bytes:
+        if word.isascii():
+            low = word.lower()
+            parts = (low,) if low.isalpha() else self.split.findall(low)
+        else:
+            word = unicodedata.normalize("NFC", word)
+            low = "".join(c.lower() for c in word) if "\u03a3" in word else word.lower()  # no final sigma
+            parts = self.split.findall(low)
+        out: list[int] = []
+        for p in parts:
+            out += self.merge(p.encode() + b"\xff")
+        return self.ids[out].tobytes() if out else b""
 
     def __call__(self, text: str) -> bytes:
         if UNSAFE.search(text):
             return self.whole(text)
-        return b"".join(map(self.seen.__getitem__, text.split()))
+        seen, out = self.seen, []
+        for w in text.split():
+            got = seen.get(w)
+            if got is None:
+                if len(seen) >= WORDS:
+                    seen.clear()
+                got = seen[w] = self.word(w)
+            out.append(got)
+        return b"".join(out)
 
 
 def pieces(docs: DataFrame, key: str, text: str, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """One row for each piece of each document, with its length and the checksum of its ids."""
+    tuned(docs.sparkSession)
     path = vocabulary or vocabulary_path()
     end = np.array([END_ID], "<u4").tobytes()
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
@@ -81,7 +123,6 @@ def pieces(docs: DataFrame, key: str, text: str, capacity: int = CAPACITY, vocab
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
                 texts = [t or "" for t in b.column(1).to_pylist()]
-                encode.learn([t for t in texts if not UNSAFE.search(t)])
                 rows = []
                 for k, t in zip(b.column(0).to_pylist(), texts, strict=True):
                     ids = encode(t) + end

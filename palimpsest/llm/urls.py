@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ddl, table
+from ._common import ddl, table, tuned
 
 VOCABULARY, BUCKETS, LONGEST = 50_000, 1 << 15, 24
 #: The rules (host, path, verdict), and the seed words of blocked names.
@@ -120,6 +120,7 @@ def unigrams(texts: DataFrame, column: str, size: int = VOCABULARY, seeds: tuple
 
 def filter_urls(pages: DataFrame, key: str, url: str, html: str | None, rules=RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
     """page_id, host, path, rule, verdict, log_odds and segmented host words of every row."""
+    tuned(pages.sparkSession)
     spark = pages.sparkSession
     base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"))
     words = spark.sparkContext.broadcast(unigrams(pages, html or url, seeds=seeds))

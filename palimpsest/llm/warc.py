@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ddl, forget, scratch, table, written
+from ._common import ddl, forget, scratch, table, tuned, written
 
 MIN_REVISIT = 1000
 ROLL_BYTES = 64 << 20
@@ -108,6 +108,7 @@ def write_archives(rows: DataFrame, key: str, url: str, payload: str, folder: st
     attempt and then moved, so a repeated task never leaves half a file, and
     the list of committed names is itself a written table.
     """
+    tuned(rows.sparkSession)
     spark = rows.sparkSession
     folder = folder or scratch(spark, "warc")
     base = rows.select(F.col(key).cast("long").alias("key"), F.col(url).cast("string").alias("url"), F.encode(F.coalesce(F.col(payload), F.lit("")), "utf-8").alias("payload"))
