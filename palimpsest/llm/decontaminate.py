@@ -161,7 +161,7 @@ ORACLE = """
 WITH words AS (
   SELECT 0 AS kind, doc_id AS id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') AS w FROM documents
   UNION ALL SELECT 1, item_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}_]+') FROM benchmark),
-grams AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) AS g
+grams AS (SELECT DISTINCT kind, id, unnest(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i+4], ' '))) AS g
           FROM words WHERE len(w) >= 5),
 sizes AS (SELECT id, count(*) AS n FROM grams WHERE kind = 1 GROUP BY id),
 hits AS (SELECT d.id AS doc_id, b.id AS item_id, count(*) AS shared
