@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from ._common import ddl, tuned, written
 
-CAPACITY, END_ID, NODES, WIDTH, WORDS = 4096, 1, 4000, 6, 150_000
+CAPACITY, END_ID, NODES, WIDTH, WORDS = 4096, 1, 2000, 6, 150_000
 VOCAB = "word_bpe_49k.json"
 #: Rows of one (length, salt) group; a length that a third of all rows have is spread over the salts.
 GROUP_ROWS = 200_000
@@ -235,7 +235,7 @@ def plan_packing(counts: dict[int, int], capacity: int = CAPACITY, nodes: int =
     bound = -(-total // capacity)
     best = best_fit(stock, capacity)
     size = sum(n for _, n in best)
-    left = nodes * max(1, len(stock.sizes) // 16)
+    left = nodes
     open_: list[tuple[Stock, list, int, int]] = [(stock, [], 0, 0)]
     while open_ and size > bound and left > 0:
         now, plan, used, wasted = open_.pop()
