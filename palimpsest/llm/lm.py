@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from ._common import MIX, WordHashes, mixed, packed_keys, planes, tuned, unpacked_keys, unplanes, words_of, written
 from .language import held_out
 
-TOKENS, SHARD_KEYS, DEV = 1_000_000, 1_500_000, 16
+TOKENS, SHARD_KEYS, DEV = 300_000, 1_000_000, 16
 CONTEXTS, STEPS, ITERATIONS = 32, 64, 60
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 PACKED = "batch bigint, dev int, n_tokens bigint, ids array<bigint>, held array<boolean>, lengths binary, words binary, stream binary"
