@@ -112,7 +112,7 @@ def train(docs: DataFrame, text: str, label: str) -> tuple[list[str], np.ndarray
         index = {x: i for i, x in enumerate(names)}
         counts[[index[x] for x in labels], got.column("bucket").to_numpy()] = got.column("n").to_numpy()
     body, docs_of = counts[:, :BUCKETS] + 0.5, counts[:, BUCKETS:]
-    out = np.hstack([np.log(body) - np.log(body.sum(1, keepdims=True)), np.log(docs_of + 1) - np.log(docs_of.sum() + len(names))])
+    out = np.hstack([np.log(body) - np.log(body.sum(1, keepdims=True)), np.log(docs_of + 1) - np.log(docs_of.sum() + len(names) + (not names))])
     return names, out.astype(np.float32)
 
 
