@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import ddl, table, tuned
+from ._common import ddl, forget, table, tuned, written
 
 VOCABULARY, BUCKETS, LONGEST = 50_000, 1 << 15, 24
 #: The rules (host, path, verdict), and the seed words of blocked names.
@@ -112,8 +112,17 @@ def unigrams(texts: DataFrame, column: str, size: int = VOCABULARY, seeds: tuple
                     seen.clear()
         yield table(schema, [x for x in seen.items() if len(x[0]) <= LONGEST])
 
-    top = texts.select(column).mapInArrow(count, ddl(schema)).where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "word").limit(size)
-    found = {r.word: r.n for r in top.collect()}
+    counts = written(texts.select(column).mapInArrow(count, ddl(schema)).where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
+    # sixteenths of a bit of the count: a histogram of under a thousand rows finds the threshold
+    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
+    least, kept = None, 0
+    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
+        kept += r["count"]
+        if kept > size:
+            break
+        least = r["step"]
+    found = {r.word: r.n for r in counts.where(step >= least).collect()} if least is not None else {}
+    forget(counts)
     middle = sorted(found.values())[len(found) // 2] if found else 1
     return found | {s: max(found.get(s, 0), middle) for s in seeds}
 
