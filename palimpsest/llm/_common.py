@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -60,6 +61,12 @@ def forget(df: DataFrame) -> None:
         place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def tidy(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of finished jobs that nothing refers to any more."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 class WordHashes(dict):
     """64-bit hashes of byte words, remembered up to ``CACHE_WORDS`` entries."""
 

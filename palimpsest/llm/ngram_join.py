@@ -9,9 +9,11 @@ and the lists are scanned.  Any two linked sets meet in a subset or in a list.
 A shingle's rarity is the sum of its words' log counts in a sketch of fixed
 size over all documents; it only orders the shingles, any order gives the same
 links.  Lists are cut into blocks and processed block against block, so no
-task holds an unbounded list, and an upper bound of the overlap (minimum of
-128-bin histograms) leaves few pairs for the exact check.  In long lists a set
-first names its least partner; after those links have joined components, only
+task holds an unbounded list, and a lower bound of the difference leaves few
+pairs for the exact check: sketches whose bits flip with each shingle, of at
+least twice as many bits as the set, differ in no more bits than the sets
+differ in shingles, and the larger of two folds onto the smaller.  In long lists a set
+first names its most alike partners and checks one, twice; after those links have joined components, only
 pairs across components are left to examine, so groups of thousands of near
 copies cost what they have in members, not in links.
 
@@ -32,11 +34,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, connected, forget, mixed, planes, shingles, tuned, unplanes, words_of, written
+from ._common import WordHashes, connected, forget, mixed, packed_keys, planes, shingles, tidy, tuned, unpacked_keys, unplanes, words_of, written
 from .lm import batch_of
 
-SLOTS, BINS, BLOCK, SMALL, MEMBERS, LIGHT_MOST = 1 << 20, 128, 512, 12, 20_000, 40
-SETS = "doc_id bigint, n bigint, set binary, entries array<bigint>, bins binary"
+SLOTS, LEAST_BITS, BLOCK, SMALL, MEMBERS, LIGHT_MOST = 1 << 20, 512, 512, 12, 20_000, 40
+SETS = "doc_id bigint, n bigint, set binary, entries array<bigint>, flips binary"
 
 
 def needed(n, m, num: int, den: int):
@@ -101,7 +103,7 @@ def slots(words: np.ndarray) -> np.ndarray:
 
 
 class Sets:
-    """Turns texts into shingle sets with their entries and histograms."""
+    """Turns texts into shingle sets with their entries and sketches."""
 
     def __init__(self, width: int, num: int, den: int, light: int, rarity: np.ndarray):
         self.width, self.num, self.den, self.light, self.rarity, self.hashes = width, num, den, light, rarity, WordHashes()
@@ -129,25 +131,63 @@ class Sets:
             order = (score << np.uint64(50)) | (grams >> np.uint64(14))
             p = prefix(n, self.num, self.den)
             keys.append(mixed(np.partition(order, p - 1)[:p], 41))
-        bins = np.bincount((grams >> np.uint64(57)).astype(np.int64), minlength=BINS)
-        return n, self.name(grams), np.concatenate(keys).view(np.int64), bins.astype(np.uint8).tobytes() if bins.max() < 256 else b""
+        return n, self.name(grams), np.concatenate(keys).view(np.int64), flips(grams)
+
+
+def flips(grams: np.ndarray) -> bytes:
+    """The sketch of a set: each shingle flips one bit."""
+    bits = max(LEAST_BITS, 1 << (2 * len(grams) - 1).bit_length())
+    on = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(on.astype(np.uint8), bitorder="little").tobytes()
+
+
+class Sketches:
+    """The sketches of a group of sets, each also folded to half its size."""
+
+    def __init__(self, raw: list[bytes]):
+        self.size = np.array([len(x) for x in raw], np.int64)
+        self.rows, self.place = {}, {}
+        for c in np.unique(self.size).tolist():
+            own, twice = np.flatnonzero(self.size == c), np.flatnonzero(self.size == 2 * c)
+            full = [np.frombuffer(raw[i], np.uint64) for i in own]
+            for i in twice:
+                x = np.frombuffer(raw[i], np.uint64)
+                full.append(x[: len(x) // 2] ^ x[len(x) // 2 :])
+            place = np.full(len(raw), -1, np.int64)
+            place[np.concatenate((own, twice))] = np.arange(len(full))
+            self.rows[c], self.place[c] = np.array(full), place
+
+    def difference(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Bits that differ, for pairs of sets; 0 where sizes are too far apart to fold."""
+        out = np.zeros(len(x), np.int64)
+        common = np.minimum(self.size[x], self.size[y])
+        for c in np.unique(common).tolist():
+            at = np.flatnonzero((common == c) & (np.maximum(self.size[x], self.size[y]) <= 2 * c))
+            rows, place = self.rows[c], self.place[c]
+            step = max(1, (8 << 20) // c)
+            for k in range(0, len(at), step):
+                some = at[k : k + step]
+                out[some] = np.bitwise_count(rows[place[x[some]]] ^ rows[place[y[some]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def survivors(n: np.ndarray, sketches: Sketches, left: np.ndarray, right: np.ndarray, num: int, den: int):
+    """Positions (i, j) of the pairs that the sizes and the sketches allow to link."""
+    a, b = n[left][:, None], n[right][None, :]
+    i, j = np.nonzero((den * np.minimum(a, b) >= num * np.maximum(a, b)) & (left[:, None] < right[None, :]))
+    x, y = left[i], right[j]
+    d = sketches.difference(x, y)
+    ok = (num + den) * d <= (den - num) * (n[x] + n[y])
+    return x[ok], y[ok], d[ok]
 
 
-def survivors(n: np.ndarray, bins: np.ndarray, open_: np.ndarray, left: np.ndarray, right: np.ndarray, num: int, den: int):
-    """Positions (i, j) whose overlap bound allows a link; ``open_`` marks sets without a histogram."""
-    a, b = n[left][:, None], n[right][None, :]
-    fits = (den * np.minimum(a, b) >= num * np.maximum(a, b)) & (left[:, None] < right[None, :])
-    i, j = np.nonzero(fits)
-    out_i, out_j = [], []
-    for at in range(0, len(i), 20_000):
-        x, y = left[i[at : at + 20_000]], right[j[at : at + 20_000]]
-        bound = np.minimum(bins[x], bins[y]).sum(1, dtype=np.int64)
-        bound = np.where(open_[x] | open_[y], np.minimum(n[x], n[y]), bound)
-        ok = (num + den) * bound >= num * (n[x] + n[y])
-        out_i.append(x[ok])
-        out_j.append(y[ok])
-    none = np.zeros(0, np.int64)
-    return (np.concatenate(out_i), np.concatenate(out_j)) if out_i else (none, none)
+def nearest(x: np.ndarray, y: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Which pairs are the most alike of one of their two sets."""
+    keep = []
+    for one, other in ((x, y), (y, x)):
+        order = np.lexsort((other, d, one))
+        keep.append(order[np.append(True, one[order][1:] != one[order][:-1])])
+    return np.union1d(*keep)
 
 
 def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: int = 90, den: int = 100) -> DataFrame:
@@ -176,9 +216,11 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
             rows = [(k, *sets.row(t)) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield batch_of(SETS, list(zip(*rows, strict=True)) or [[]] * 5)
 
-    made = written(base.mapInArrow(make, SETS), "sets")
-    folded = made.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("entries").alias("entries"), F.first("bins").alias("bins"))
+    sets_made = written(base.mapInArrow(make, SETS), "sets")
+    made = written(sets_made.select("doc_id", "n", "set"), "set-names")
+    folded = sets_made.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("entries").alias("entries"), F.first("flips").alias("flips"))
     own = written(folded.withColumn("sid", F.monotonically_increasing_id()), "own-sets")
+    forget(sets_made)
 
     def scan(batches):
         """Lists of two sets or more from entries sorted by key, cut into blocks."""
@@ -212,16 +254,21 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
     entries = own.select(F.explode("entries").alias("key"), "sid").repartition("key").sortWithinPartitions("key")
     blocks = entries.mapInArrow(scan, "left array<bigint>, right array<bigint>").distinct()
     lists = written(blocks.withColumn("list", F.monotonically_increasing_id()), "lists")
+    tidy(spark)
     member_rows = lists.agg(F.sum(F.size("left") + F.size("right"))).first()[0] or 0
     buckets = max(1, member_rows // MEMBERS)
 
-    def examine(which: DataFrame, component: DataFrame | None) -> DataFrame:
-        """Pairs that may link: least partners in long lists, all in short ones; all across components if those are given."""
+    def examine(which: DataFrame, component: DataFrame | None, every: bool = False) -> DataFrame:
+        """Pairs (a, b, d) that may link, across components if those are given.
+
+        Long lists give each set's most alike partner, short ones (and all if
+        ``every``) each pair.
+        """
         ids = which.select("list", F.lit(0).alias("side"), F.explode("left").alias("sid")).unionByName(which.select("list", F.lit(1).alias("side"), F.explode("right").alias("sid")))
         if component is None:
-            told = own.select("sid", "n", "bins", F.col("sid").alias("component"))
+            told = own.select("sid", "n", "flips", F.col("sid").alias("component"))
         else:
-            told = own.select("sid", "n", "bins").join(component, F.col("sid") == F.col("node"), "left").select("sid", "n", "bins", F.coalesce("component", "sid").alias("component"))
+            told = own.select("sid", "n", "flips").join(component, F.col("sid") == F.col("node"), "left").select("sid", "n", "flips", F.coalesce("component", "sid").alias("component"))
         members = ids.join(told, "sid").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
         across = component is not None
 
@@ -229,9 +276,9 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
             order = np.lexsort((group.column("sid").to_numpy(), group.column("side").to_numpy(), group.column("list").to_numpy()))
             group = group.take(order)
             listed, side, sid, n, comp = (group.column(c).to_numpy() for c in ("list", "side", "sid", "n", "component"))
-            raw = group.column("bins").to_pylist()
-            open_ = np.array([not x for x in raw])
-            bins = np.frombuffer(b"".join(x or bytes(BINS) for x in raw), np.uint8).reshape(-1, BINS)
+            _, first_of, which_of = np.unique(sid, return_index=True, return_inverse=True)
+            flat = group.column("flips")
+            sketches = Sketches([flat[i].as_py() for i in first_of.tolist()])
             cuts = np.flatnonzero(np.diff(listed)) + 1
             found = set()
             for begin, end in zip(np.append(0, cuts), np.append(cuts, len(listed)), strict=True):
@@ -240,23 +287,32 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
                 left = both[: len(both) - len(right)]
                 if across and comp[both].min() == comp[both].max():
                     continue
-                x, y = survivors(n, bins, open_, left, right if len(right) else left, num, den)
+                x, y, d = survivors(n[first_of], sketches, which_of[left], which_of[right if len(right) else left], num, den)
+                x, y = first_of[x], first_of[y]
                 if across:
                     keep = comp[x] != comp[y]
-                    x, y = x[keep], y[keep]
-                elif len(both) > SMALL and len(x):
-                    # the least partner of each set, on either side
-                    _, first = np.unique(y, return_index=True)
-                    _, other = np.unique(x, return_index=True)
-                    keep = np.union1d(first, other)
-                    x, y = x[keep], y[keep]
-                found.update(zip(sid[x].tolist(), sid[y].tolist(), strict=True))
-            return pa.Table.from_batches([batch_of("a bigint, b bigint", list(zip(*found, strict=True)) or [[], []])])
-
-        return members.groupBy("bucket").applyInArrow(pairs, "a bigint, b bigint").distinct()
-
-    first = written(examine(lists, None), "pairs")
-    asked = written(first.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(own.select("sid", "set", "rep"), "sid"), "asked")
+                    x, y, d = x[keep], y[keep], d[keep]
+                if len(both) > SMALL and len(x) and not every:
+                    keep = nearest(x, y, d)
+                    x, y, d = x[keep], y[keep], d[keep]
+                found.update(zip(sid[x].tolist(), sid[y].tolist(), d.tolist(), strict=True))
+            return pa.Table.from_batches([batch_of("a bigint, b bigint, d bigint", list(zip(*found, strict=True)) or [[], [], []])])
+
+        return members.groupBy("bucket").applyInArrow(pairs, "a bigint, b bigint, d bigint").distinct()
+
+    def one_each(pairs: DataFrame) -> DataFrame:
+        """Each set's most alike partner over all lists."""
+        both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("s"), F.struct("d", F.col("b").alias("o")).alias("p")), F.struct(F.col("b").alias("s"), F.struct("d", F.col("a").alias("o")).alias("p")))).alias("e")).select("e.*")
+        best = both.groupBy("s").agg(F.min("p").alias("p"))
+        return best.select(F.least("s", "p.o").alias("a"), F.greatest("s", "p.o").alias("b")).distinct()
+
+    # every set that may link to another has a pair here; the first round verifies one pair of each set
+    named = written(examine(lists, None), "pairs")
+    first = written(one_each(named), "first-pairs")
+    # a null id is told apart by a value that no document's id has in practice and that only names the row
+    rep = F.coalesce("rep", F.lit(-(2**63))).alias("rep")
+    asked = written(named.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(own.select("sid", "set", rep), "sid"), "asked")
+    tidy(spark)
 
     def bits(batches):
         on = np.zeros(1 << 21, np.uint8)
@@ -279,20 +335,22 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
                 grams = sets.grams(t)[1]
                 if len(grams):
                     name = sets.name(grams)
+                    k = -(2**63) if k is None else k
                     at = xxhash.xxh3_64_intdigest(name + str(k).encode()) & ((1 << 24) - 1)
                     if want[at >> 3] >> (at & 7) & 1:
-                        rows.append((name, k, grams.tobytes()))
+                        rows.append((name, k, packed_keys(grams >> np.uint64(16))))
             yield batch_of("set binary, rep bigint, grams binary", list(zip(*rows, strict=True)) or [[], [], []])
 
-    told = base.mapInArrow(contents, "set binary, rep bigint, grams binary").alias("c")
-    held = written(told.join(asked.alias("q"), (F.col("c.set") == F.col("q.set")) & F.col("c.rep").eqNullSafe(F.col("q.rep"))).select("sid", "grams").dropDuplicates(["sid"]), "grams") if not first.isEmpty() else None
+    told = base.mapInArrow(contents, "set binary, rep bigint, grams binary")
+    held = written(told.join(asked, ["set", "rep"]).dropDuplicates(["set", "rep"]).select("sid", "grams"), "grams") if not first.isEmpty() else None
+    tidy(spark)
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
         def check(batches):
             for b in batches:
                 ids = [], []
                 for a, c, x, y in zip(*(col.to_pylist() for col in b.columns), strict=True):
-                    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    x, y = unpacked_keys(x), unpacked_keys(y)
                     small, large = (x, y) if len(x) < len(y) else (y, x)
                     at = np.minimum(np.searchsorted(large, small), len(large) - 1)
                     same = int((large[at] == small).sum())
@@ -309,17 +367,29 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
     else:
         edges = verified(first, "edges")
         component = written(connected(edges), "components")
-        long_lists = lists.where(F.size("left") + F.size("right") > SMALL)
-        more = written(examine(long_lists, component).join(first, ["a", "b"], "left_anti"), "more-pairs")
-        if not more.isEmpty():
-            component = written(connected(edges.unionByName(verified(more, "more-edges"))), "components")
-        named = own.select("set", "rep", "sid").join(component, F.col("sid") == F.col("node"), "left").select("set", "rep", F.coalesce("component", "sid").alias("component"))
-        least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-        classes = named.join(least, "component").select("set", "component_id")
-    classes = written(classes, "classes")
-    for df in (lists, first, asked):
+        tidy(spark)
+        # a second round over what is still apart, then every pair left across components
+        tried = first
+        for every in (False, True):
+            more = written(examine(lists, component, every).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
+            if more.isEmpty():
+                if every:
+                    break
+                continue
+            more = more.select("a", "b") if every else written(one_each(more), "more-pairs")
+            edges = written(edges.unionByName(verified(more, "more-edges")), "edges")
+            component = written(connected(edges), "components")
+            tried = written(tried.select("a", "b").unionByName(more), "tried")
+            tidy(spark)
+        classed = own.select("set", "rep", "sid").join(component, F.col("sid") == F.col("node"), "left").select("set", "rep", F.coalesce("component", "sid").alias("component"))
+        least = classed.groupBy("component").agg(F.min("rep").alias("component_id"))
+        classes = classed.join(least, "component").select("set", "component_id")
+    out = made.join(classes, "set", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    out = written(out, "classes")
+    for df in (made, own, lists, named, first, asked, *([held, component, edges, tried] if held is not None else [])):
         forget(df)
-    return made.join(classes, "set", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("set").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    tidy(spark)
+    return out
 
 
 def op8(spark, sf_dir: str) -> DataFrame:
