@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from ._common import ddl, mixed, table, tuned
 
 BUCKETS, ORDERS, EVIDENCE = 1 << 15, (1, 2, 3), 64
-PIECE = 1 << 20
+PIECE = 1 << 17
 UNKNOWN = "und"
 SPACE = np.uint32(32)
 
