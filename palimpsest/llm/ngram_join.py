@@ -258,17 +258,17 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
     member_rows = lists.agg(F.sum(F.size("left") + F.size("right"))).first()[0] or 0
     buckets = max(1, member_rows // MEMBERS)
 
-    def examine(which: DataFrame, component: DataFrame | None, every: bool = False) -> DataFrame:
-        """Pairs (a, b, d) that may link, across components if those are given.
+    def examine(which: DataFrame, sets: DataFrame, component: DataFrame | None, every: bool = False) -> DataFrame:
+        """Pairs (a, b, d) of ``sets`` that may link, across components if those are given.
 
         Long lists give each set's most alike partner, short ones (and all if
         ``every``) each pair.
         """
         ids = which.select("list", F.lit(0).alias("side"), F.explode("left").alias("sid")).unionByName(which.select("list", F.lit(1).alias("side"), F.explode("right").alias("sid")))
         if component is None:
-            told = own.select("sid", "n", "flips", F.col("sid").alias("component"))
+            told = sets.select("sid", "n", "flips", F.col("sid").alias("component"))
         else:
-            told = own.select("sid", "n", "flips").join(component, F.col("sid") == F.col("node"), "left").select("sid", "n", "flips", F.coalesce("component", "sid").alias("component"))
+            told = sets.select("sid", "n", "flips").join(component, F.col("sid") == F.col("node"), "left").select("sid", "n", "flips", F.coalesce("component", "sid").alias("component"))
         members = ids.join(told, "sid").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
         across = component is not None
 
@@ -306,12 +306,13 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
         best = both.groupBy("s").agg(F.min("p").alias("p"))
         return best.select(F.least("s", "p.o").alias("a"), F.greatest("s", "p.o").alias("b")).distinct()
 
-    # every set that may link to another has a pair here; the first round verifies one pair of each set
-    named = written(examine(lists, None), "pairs")
+    # every set that may link to another has a pair here, so later rounds look at these sets alone;
+    # the first round verifies one pair of each set
+    named = written(examine(lists, own, None), "pairs")
     first = written(one_each(named), "first-pairs")
     # a null id is told apart by a value that no document's id has in practice and that only names the row
     rep = F.coalesce("rep", F.lit(-(2**63))).alias("rep")
-    asked = written(named.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(own.select("sid", "set", rep), "sid"), "asked")
+    asked = written(named.select(F.explode(F.array("a", "b")).alias("sid")).distinct().join(own.select("sid", "set", rep, "n", "flips"), "sid"), "asked")
     tidy(spark)
 
     def bits(batches):
@@ -342,7 +343,7 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
             yield batch_of("set binary, rep bigint, grams binary", list(zip(*rows, strict=True)) or [[], [], []])
 
     told = base.mapInArrow(contents, "set binary, rep bigint, grams binary")
-    held = written(told.join(asked, ["set", "rep"]).dropDuplicates(["set", "rep"]).select("sid", "grams"), "grams") if not first.isEmpty() else None
+    held = written(told.join(asked.select("sid", "set", "rep"), ["set", "rep"]).dropDuplicates(["set", "rep"]).select("sid", "grams"), "grams") if not first.isEmpty() else None
     tidy(spark)
 
     def verified(pairs: DataFrame, label: str) -> DataFrame:
@@ -371,7 +372,7 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
         # a second round over what is still apart, then every pair left across components
         tried = first
         for every in (False, True):
-            more = written(examine(lists, component, every).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
+            more = written(examine(lists, asked, component, every).join(tried.select("a", "b"), ["a", "b"], "left_anti"), "more-pairs")
             if more.isEmpty():
                 if every:
                     break
