@@ -219,7 +219,8 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
     sets_made = written(base.mapInArrow(make, SETS), "sets")
     made = written(sets_made.select("doc_id", "n", "set"), "set-names")
     folded = sets_made.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("entries").alias("entries"), F.first("flips").alias("flips"))
-    own = written(folded.withColumn("sid", F.monotonically_increasing_id()), "own-sets")
+    # the low five bits of a set's id bound how many lists can hold it
+    own = written(folded.withColumn("sid", F.monotonically_increasing_id() * 32 + F.ceil(F.log2(F.size("entries")))), "own-sets")
     forget(sets_made)
 
     def scan(batches):
@@ -253,7 +254,14 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
 
     entries = own.select(F.explode("entries").alias("key"), "sid").repartition("key").sortWithinPartitions("key")
     blocks = entries.mapInArrow(scan, "left array<bigint>, right array<bigint>").distinct()
-    lists = written(blocks.withColumn("list", F.monotonically_increasing_id()), "lists")
+    # lists of near copies begin with the same set: one place for them spares sending their sketches to many,
+    # and as many places as keep each below MEMBERS / 8 rows where the set's lists are many or long
+    head = F.col("left")[0]
+    most = F.pow(F.lit(2), head.bitwiseAND(31)) * (F.size("left") + F.size("right"))
+    spread = F.ceil(F.log2(F.greatest(most / (MEMBERS // 8), F.lit(1.0))))
+    part = F.pmod(F.xxhash64("list"), F.pow(F.lit(2), spread).cast("bigint"))
+    placed = blocks.withColumn("list", F.monotonically_increasing_id()).withColumn("place", F.xxhash64(head, F.get("right", F.lit(0)), spread, part))
+    lists = written(placed, "lists")
     tidy(spark)
     member_rows = lists.agg(F.sum(F.size("left") + F.size("right"))).first()[0] or 0
     buckets = max(1, member_rows // MEMBERS)
@@ -264,31 +272,32 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
         Long lists give each set's most alike partner, short ones (and all if
         ``every``) each pair.
         """
-        ids = which.select("list", F.lit(0).alias("side"), F.explode("left").alias("sid")).unionByName(which.select("list", F.lit(1).alias("side"), F.explode("right").alias("sid")))
+        bucket = F.pmod("place", F.lit(buckets)).alias("bucket")
+        ids = which.select(bucket, (F.col("list") * 2).alias("at"), F.explode("left").alias("sid")).unionByName(which.select(bucket, (F.col("list") * 2 + 1).alias("at"), F.explode("right").alias("sid")))
+        held_by = ids.repartition("sid").groupBy("sid", "bucket").agg(F.collect_list("at").alias("at"))
         if component is None:
             told = sets.select("sid", "n", "flips", F.col("sid").alias("component"))
         else:
             told = sets.select("sid", "n", "flips").join(component, F.col("sid") == F.col("node"), "left").select("sid", "n", "flips", F.coalesce("component", "sid").alias("component"))
-        members = ids.join(told, "sid").withColumn("bucket", F.pmod(F.xxhash64("list"), F.lit(buckets)))
+        members = held_by.join(told, "sid")
         across = component is not None
 
         def pairs(group: pa.Table) -> pa.Table:
-            order = np.lexsort((group.column("sid").to_numpy(), group.column("side").to_numpy(), group.column("list").to_numpy()))
-            group = group.take(order)
-            listed, side, sid, n, comp = (group.column(c).to_numpy() for c in ("list", "side", "sid", "n", "component"))
-            _, first_of, which_of = np.unique(sid, return_index=True, return_inverse=True)
-            flat = group.column("flips")
-            sketches = Sketches([flat[i].as_py() for i in first_of.tolist()])
+            group = group.take(np.argsort(group.column("sid").to_numpy()))
+            sid, n, comp = (group.column(c).to_numpy() for c in ("sid", "n", "component"))
+            sketches = Sketches(group.column("flips").to_pylist())
+            at = group.column("at").combine_chunks()
+            holds, at = np.repeat(np.arange(len(sid)), at.value_lengths().to_numpy()), at.flatten().to_numpy()
+            order = np.lexsort((holds, at))
+            holds, listed, side = holds[order], at[order] >> 1, at[order] & 1
             cuts = np.flatnonzero(np.diff(listed)) + 1
             found = set()
             for begin, end in zip(np.append(0, cuts), np.append(cuts, len(listed)), strict=True):
-                both = np.arange(begin, end)
-                right = both[side[begin:end] == 1]
-                left = both[: len(both) - len(right)]
+                both = holds[begin:end]
+                left, right = both[side[begin:end] == 0], both[side[begin:end] == 1]
                 if across and comp[both].min() == comp[both].max():
                     continue
-                x, y, d = survivors(n[first_of], sketches, which_of[left], which_of[right if len(right) else left], num, den)
-                x, y = first_of[x], first_of[y]
+                x, y, d = survivors(n, sketches, left, right if len(right) else left, num, den)
                 if across:
                     keep = comp[x] != comp[y]
                     x, y, d = x[keep], y[keep], d[keep]
