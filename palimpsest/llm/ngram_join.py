@@ -11,8 +11,8 @@ size over all documents; it only orders the shingles, any order gives the same
 links.  Lists are cut into blocks and processed block against block, so no
 task holds an unbounded list, and a lower bound of the difference leaves few
 pairs for the exact check: sketches whose bits flip with each shingle, of at
-least twice as many bits as the set, differ in no more bits than the sets
-differ in shingles, and the larger of two folds onto the smaller.  In long lists a set
+least as many bits as the set, differ in no more bits than the sets differ in
+shingles, and the larger of two folds onto the smaller.  In long lists a set
 first names its most alike partners and checks one, twice; after those links have joined components, only
 pairs across components are left to examine, so groups of thousands of near
 copies cost what they have in members, not in links.
@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from ._common import WordHashes, connected, forget, mixed, packed_keys, planes, shingles, tidy, tuned, unpacked_keys, unplanes, words_of, written
 from .lm import batch_of
 
-SLOTS, LEAST_BITS, BLOCK, SMALL, MEMBERS, LIGHT_MOST = 1 << 20, 512, 512, 12, 20_000, 40
+SLOTS, LEAST_BITS, BLOCK, SMALL, MEMBERS, LIGHT_MOST = 1 << 20, 256, 512, 12, 40_000, 40
 SETS = "doc_id bigint, n bigint, set binary, entries array<bigint>, flips binary"
 
 
@@ -136,7 +136,7 @@ class Sets:
 
 def flips(grams: np.ndarray) -> bytes:
     """The sketch of a set: each shingle flips one bit."""
-    bits = max(LEAST_BITS, 1 << (2 * len(grams) - 1).bit_length())
+    bits = max(LEAST_BITS, 1 << (len(grams) - 1).bit_length())
     on = np.bincount((grams & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(on.astype(np.uint8), bitorder="little").tobytes()
 
@@ -255,10 +255,10 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
     entries = own.select(F.explode("entries").alias("key"), "sid").repartition("key").sortWithinPartitions("key")
     blocks = entries.mapInArrow(scan, "left array<bigint>, right array<bigint>").distinct()
     # lists of near copies begin with the same set: one place for them spares sending their sketches to many,
-    # and as many places as keep each below MEMBERS / 8 rows where the set's lists are many or long
+    # and as many places as keep each below MEMBERS / 16 rows where the set's lists are many or long
     head = F.col("left")[0]
     most = F.pow(F.lit(2), head.bitwiseAND(31)) * (F.size("left") + F.size("right"))
-    spread = F.ceil(F.log2(F.greatest(most / (MEMBERS // 8), F.lit(1.0))))
+    spread = F.ceil(F.log2(F.greatest(most / (MEMBERS // 16), F.lit(1.0))))
     part = F.pmod(F.xxhash64("list"), F.pow(F.lit(2), spread).cast("bigint"))
     placed = blocks.withColumn("list", F.monotonically_increasing_id()).withColumn("place", F.xxhash64(head, F.get("right", F.lit(0)), spread, part))
     lists = written(placed, "lists")
