@@ -232,6 +232,50 @@ def test_passages(spark, odd, none):
     assert passages.without_spans("a b  c\nd e", [(1, 2)]) == "a d e" and passages.without_spans("a b", [(0, 2)]) == ""
 
 
+def _in_common(x, y):
+    """Jaccard similarity of the shingles of two spans, each as often as it occurs."""
+    x, y = (collections.Counter(tuple(w[i : i + passages.WIDTH]) for i in range(len(w) - passages.WIDTH + 1)) for w in (x, y))
+    same = (x & y).total()
+    return same / (x.total() + y.total() - same)
+
+
+def test_repeats_with_inserted_and_deleted_words(spark):
+    rng = random.Random(11)
+    new = lambda n: [rng.randrange(2**32) for _ in range(n)]
+    wanted = 0
+    for _ in range(400):
+        p = new(rng.randrange(56, 200))
+        q = []
+        for at in range(0, len(p), 12):  # edits are over WIDTH words apart, so that no gap is over GAP
+            part = p[at : at + 12]
+            if at and len(part) == 12 and rng.random() < 0.15:
+                n = rng.randrange(1, 4)
+                part = new(n) + part if rng.random() < 0.5 else part[n:]
+            q += part
+        if len(q) < passages.MIN_WORDS:
+            continue
+        a, b = (np.array(x, np.uint32) for x in (new(30) + p + new(20), new(70) + q + new(33)))
+        near = _in_common(p, q)
+        seed = next(d for d in range(20, 60) if len(passages.runs_on(a, b, d)[0]))
+        got = passages.passages(a, b, [seed])
+        whole = [r for r in got if r[0] == 70 and r[0] + r[1] == 70 + len(q)]
+        assert bool(whole) == (near >= passages.SIMILAR), near
+        for start, n, source, similarity in got:
+            ends = [source + m for m in range(n - 40, n + 41) if m >= passages.MIN_WORDS and source + m <= len(a)]
+            assert n >= passages.MIN_WORDS and similarity >= passages.SIMILAR
+            assert any(math.isclose(similarity, _in_common(a[source:e].tolist(), b[start : start + n].tolist())) for e in ends)
+        wanted += near >= passages.SIMILAR
+    assert wanted > 100
+    text = lambda n: [f"{rng.choice('klmn')}{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for i in range(40):
+        body = text(80)
+        rows += [(2 * i, " ".join(text(70) + body + text(30))), (2 * i + 1, " ".join(text(20) + body[:40] + text(1) + body[40:] + text(50)))]
+    found = {r.doc_id: r for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text").collect()}
+    # three min-hashes meet on nearly all pairs; each one found is whole
+    assert len(found) >= 36 and all((k % 2, r.start, r.n_words, r.source_id, r.source_start) == (1, 20, 81, k - 1, 70) for k, r in found.items())
+
+
 def test_contamination(spark, odd, none):
     items = [(1, " ".join(LONG.split()[5000:5030])), (2, "One, TWO!"), (3, None), (4, ""), (5, "never seen anywhere at all " * 3), (6, " ".join(LONG.split()[9:29] + ["x"] * 3)), (2, "one two")]
     bench = spark.createDataFrame([(k, t, 0) for k, t in items], "item_id long, text string, doc_id int")
