@@ -7,6 +7,11 @@ of the item becomes a fair Jaccard similarity there.  A window is a candidate
 when one of its ``HASHES`` minima equals the item's; candidates are verified by
 the exact share of the item's distinct shingles in the whole document.
 
+What the minima miss is found exactly: of an item's n shingles the
+n - ceil(``CONTAINED`` n) + 1 that the fewest documents hold are its prefix,
+and a document that holds none of these cannot hold enough of the rest.  Every
+document with a prefix shingle is a candidate too, so no pair is lost.
+
 Words are runs of letters and digits, lower-cased; shingles have five words.
 An item of fewer words is one shingle, looked for among the document's runs of
 that many words.  Defined cases: null or wordless texts match nothing; repeated
@@ -24,7 +29,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import WordHashes, ddl, mixed, shingles, tuned, written
@@ -138,7 +143,7 @@ def contamination(docs: DataFrame, key: str, text: str, items: DataFrame, item_k
                 small = [x[hit(of_keys, x)] for n in short if len(w) >= n for x in (shingles(w, n),)]
                 got += small
                 found = np.unique(np.concatenate(got)) if got else g[:0]
-                if len(found):
+                if len(found) or len(some):
                     ids.append(k)
                     keys.append(found.view(np.int64))
                     grams.append(np.unique(np.concatenate([some, *small])).view(np.int64))
@@ -146,9 +151,17 @@ def contamination(docs: DataFrame, key: str, text: str, items: DataFrame, item_k
 
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     found = written(base.mapInArrow(find, ddl(FOUND)), "found")
-    candidates = found.select("doc_id", F.explode("keys").alias("key")).join(item_keys, "key").select("doc_id", "item_id").distinct()
-    shared = found.select("doc_id", F.explode("grams").alias("gram")).distinct().join(item_grams, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
+    by_minima = found.select("doc_id", F.explode("keys").alias("key")).join(item_keys, "key").select("doc_id", "item_id")
+    doc_grams = found.select("doc_id", F.explode("grams").alias("gram")).distinct()
     size = item_grams.groupBy("item_id").agg(F.count("*").alias("item_shingles"))
+    holders = doc_grams.join(item_grams.select("gram").distinct(), "gram", "left_semi").groupBy("gram").agg(F.count("*").alias("holders"))
+    # an item's shingles are one partition: the window holds one item at a time
+    rarest = F.row_number().over(Window.partitionBy("item_id").orderBy("holders", "gram"))
+    ranked = item_grams.join(holders, "gram", "left").na.fill(0, ["holders"]).withColumn("rank", rarest).join(size, "item_id")
+    prefix = ranked.where(F.col("rank") <= F.col("item_shingles") - F.ceil(F.col("item_shingles") * contained - 1e-9) + 1).select("item_id", "gram")
+    by_prefix = doc_grams.join(prefix, "gram").select("doc_id", "item_id")
+    candidates = by_minima.unionByName(by_prefix).distinct()
+    shared = doc_grams.join(item_grams, "gram").groupBy("doc_id", "item_id").agg(F.count("*").alias("shared"))
     return shared.join(candidates, ["doc_id", "item_id"], "left_semi").join(size, "item_id").select("doc_id", "item_id", "shared", "item_shingles", (F.col("shared") / F.col("item_shingles")).alias("containment")).where(F.col("containment") >= contained)
 
 

@@ -285,6 +285,29 @@ def test_contamination(spark, odd, none):
     assert decontaminate.contamination(odd, "doc_id", "text", bench.where("false"), "item_id", "text").count() == 0
 
 
+def test_contamination_misses_no_small_item(spark):
+    """Items of few shingles in a long document, and shares just over the least, against brute force."""
+    rng = random.Random(12)
+    fresh = lambda n: [f"q{rng.randrange(10**7)}" for _ in range(n)]
+    texts, items = [fresh(6000) for _ in range(6)], []
+    for n in (4, 5, 6, 7, 8, 21):
+        for _ in range(80):
+            at = rng.randrange(5900)
+            items.append(texts[len(items) % 6][at : at + n])
+            if n == 21:  # 17 shingles, 14 of them held
+                items[-1][18:] = fresh(3)
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(texts)], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id long, text string")
+    got = {(r.item_id, r.doc_id): r.containment for r in decontaminate.contamination(docs, "doc_id", "text", bench, "item_id", "text").collect()}
+    want = {}
+    runs = [{n: {tuple(t[i : i + n]) for i in range(len(t) - n + 1)} for n in (4, 5)} for t in texts]
+    for k, item in enumerate(items):
+        n = min(5, len(item))
+        grams = {tuple(item[i : i + n]) for i in range(len(item) - n + 1)}
+        want |= {(k, d): share for d, r in enumerate(runs) if (share := len(grams & r[n]) / len(grams)) >= 0.8}
+    assert got == want and len(want) >= len(items)
+
+
 def test_encoder_equals_the_tokenizer():
     encode = packing.Encoder(packing.vocabulary_path())
     texts = ["", "ΑΣ ΟΔΟΣ", "don't it's2U3 'll'd'", "ﬁ Å e\u0301 \u0300x", "漢字かな 🎉🎉a", "x\u200bY ǅ ß ẞ 'S'T ½²", "a<|endoftext|>b <| c", "tab\tnew\nline\x1cx\x85y\u00a0z", LONG[:3000], "٣٤ ẛx \U0001f600'm", "\u0345 İstanbul"]
