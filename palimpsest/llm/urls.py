@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ._common import ddl, forget, table, tuned, written
 
-VOCABULARY, BUCKETS, LONGEST = 50_000, 1 << 15, 24
+BUCKETS, LONGEST = 1 << 15, 24
 #: The rules (host, path, verdict), and the seed words of blocked names.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 SEEDS = ("ads", "adult", "adware", "bet", "bets", "betting", "casino", "gambling", "hack", "jackpot", "loan", "lottery", "malware", "phishing", "pills", "poker", "porn", "sex", "slots", "spam", "track", "viagra", "warez", "xxx")
@@ -62,8 +62,9 @@ def ruled(host: str, path: str, rules=RULES) -> tuple[str, str] | tuple[None, No
 class Segmenter:
     """The most probable split of a name into words of a unigram model."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None):
+        """``total`` is that of all words plus one, where ``counts`` has only those that can occur."""
+        total = total or sum(counts.values()) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         self.unknown = math.log(total) + math.log(10)
         self.split = lru_cache(100_000)(self._split)
@@ -86,45 +87,74 @@ class Segmenter:
             j = back[j]
         return tuple(reversed(out))
 
-    def tokens(self, host: str, path: str) -> tuple[list[str], list[str]]:
-        of_host = [w for x in LETTERS.findall(host) for w in self.split(x)]
-        return of_host, [NUMBER.sub("0", x) for x in PART.findall(path.translate(UPPER))]
+
+def path_tokens(path: str) -> list[str]:
+    return [NUMBER.sub("0", x) for x in PART.findall(path.translate(UPPER))]
 
 
 def bucket(kind: str, word: str) -> int:
     return xxhash.xxh3_64_intdigest(f"{kind}:{word}") % BUCKETS
 
 
-def unigrams(texts: DataFrame, column: str, size: int = VOCABULARY, seeds: tuple[str, ...] = SEEDS) -> dict[str, int]:
-    """Counts of the most frequent words over all texts; ``seeds`` are always known.
+def unigrams(texts: DataFrame, column: str, seeds: tuple[str, ...] = SEEDS) -> tuple[DataFrame, int]:
+    """Table (word, n) of all words of all texts, and the sum of n.
 
-    Tasks fold their counts before the shuffle; ``size`` bounds what returns.
+    Tasks fold their counts before the shuffle.  ``seeds`` are always known,
+    with the median count at least.
     """
+    spark = texts.sparkSession
     schema = "word:string n:long"
 
     def count(batches):
         seen: Counter[str] = Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                seen.update(LETTERS.findall(TAG.sub(" ", text).lower()) if text else ())
+                seen.update(x for x in LETTERS.findall(TAG.sub(" ", text).lower()) if len(x) <= LONGEST) if text else None
                 if len(seen) > 400_000:
                     yield table(schema, list(seen.items()))
                     seen.clear()
-        yield table(schema, [x for x in seen.items() if len(x[0]) <= LONGEST])
-
-    counts = written(texts.select(column).mapInArrow(count, ddl(schema)).where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
-    # sixteenths of a bit of the count: a histogram of under a thousand rows finds the threshold
-    step = F.floor(F.log2(F.col("n").cast("double")) * 16)
-    least, kept = None, 0
-    for r in sorted(counts.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        kept += r["count"]
-        if kept > size:
+        yield table(schema, list(seen.items()))
+
+    counts = written(texts.select(column).mapInArrow(count, ddl(schema)).groupBy("word").agg(F.sum("n").alias("n")), "unigrams")
+    # distinct counts: at most the root of twice the words read
+    sizes = counts.groupBy("n").agg(F.count("*").alias("words")).orderBy("n").collect()
+    middle, at, half = 1, 0, sum(r.words for r in sizes) // 2
+    for r in sizes:
+        at += r.words
+        if at > half:
+            middle = r.n
             break
-        least = r["step"]
-    found = {r.word: r.n for r in counts.where(step >= least).collect()} if least is not None else {}
-    forget(counts)
-    middle = sorted(found.values())[len(found) // 2] if found else 1
-    return found | {s: max(found.get(s, 0), middle) for s in seeds}
+    least = spark.createDataFrame([(w, middle) for w in sorted(set(seeds))], "word string, n long")
+    held = {r.word: r.n for r in counts.join(F.broadcast(least.select("word")), "word", "left_semi").collect()}
+    total = sum(r.n * r.words for r in sizes) + sum(max(0, middle - held.get(w, 0)) for w in set(seeds))
+    known = counts.join(F.broadcast(least.withColumnRenamed("n", "least")), "word", "left")
+    out = known.select("word", F.greatest("n", F.coalesce("least", "n")).alias("n")).unionByName(least.where(~F.col("word").isin(list(held))))
+    out._palimpsest_path = counts._palimpsest_path
+    return out, total
+
+
+def segmented(names: DataFrame, known: DataFrame, total: int) -> DataFrame:
+    """(name, words) of each distinct name of letters; a name's words are joined by blanks."""
+
+    def cut(batches):
+        for b in batches:
+            out = []
+            for name in b.column(0).to_pylist():
+                out += {(name, name[i:j]) for j in range(1, len(name) + 1) for i in range(max(0, j - LONGEST), j)} if len(name) <= 253 else {(name, name)}
+                if len(out) > 50_000:
+                    yield table("name:string word:string", out)
+                    out = []
+            yield table("name:string word:string", out)
+
+    def split(batches):
+        for b in batches:
+            rows = [(name, " ".join(Segmenter({x["word"]: x["n"] for x in found}, total + 1)._split(name))) for name, found in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+            yield table("name:string words:string", rows)
+
+    found = names.mapInArrow(cut, "name string, word string").join(known, "word")
+    # a name has at most LONGEST words for each of its letters
+    each = names.join(found.groupBy("name").agg(F.collect_list(F.struct("word", "n")).alias("found")), "name", "left")
+    return each.select("name", F.coalesce("found", F.array().cast("array<struct<word:string,n:bigint>>")).alias("found")).mapInArrow(split, "name string, words string")
 
 
 def filter_urls(pages: DataFrame, key: str, url: str, html: str | None, rules=RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
@@ -132,16 +162,32 @@ def filter_urls(pages: DataFrame, key: str, url: str, html: str | None, rules=RU
     tuned(pages.sparkSession)
     spark = pages.sparkSession
     base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"))
-    words = spark.sparkContext.broadcast(unigrams(pages, html or url, seeds=seeds))
+    known, total = unigrams(pages, html or url, seeds)
+
+    def hosts_of(batches):
+        for b in batches:
+            urls = b.column(1).to_pylist()
+            yield table("page_id:long url:string at:string", [(k, u, parts(u)[0]) for k, u in zip(b.column(0).to_pylist(), urls, strict=True)])
+
+    def names_of(batches):
+        for b in batches:
+            yield table("at:string i:int name:string", [(h, i, x) for h in b.column(0).to_pylist() for i, x in enumerate(LETTERS.findall(h))])
+
+    of_page = written(base.mapInArrow(hosts_of, "page_id bigint, url string, at string"), "urls")
+    names = written(of_page.select("at").distinct().mapInArrow(names_of, "at string, i int, name string"), "names")
+    split = written(segmented(names.select("name").distinct(), known, total), "segmented")
+    of_host = names.join(split, "name").groupBy("at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"]), " ").alias("words"))
+    base = written(of_page.join(of_host, "at", "left").select("page_id", "url", F.coalesce("words", F.lit("")).alias("words")), "host-words")
+    for one in (known, of_page, names, split):
+        forget(one)
     bad = frozenset(seeds)
     counted = "label:int bucket:int n:long"
 
     def count(batches):
-        model = Segmenter(words.value)
         seen = np.zeros((2, BUCKETS + 1), np.int64)
         for b in batches:
-            for u in b.column(1).to_pylist():
-                of_host, of_path = model.tokens(*parts(u))
+            for u, of_host in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                of_host, of_path = of_host.split(), path_tokens(parts(u)[1])
                 label = int(not bad.isdisjoint(of_host) or not bad.isdisjoint(of_path))
                 seen[label, BUCKETS] += 1
                 for kind, tokens in (("h", of_host), ("p", of_path)):
@@ -159,13 +205,13 @@ def filter_urls(pages: DataFrame, key: str, url: str, html: str | None, rules=RU
     odds = spark.sparkContext.broadcast((each[1] - each[0]).astype(np.float64))
 
     def score(batches):
-        model, table_of = Segmenter(words.value), odds.value
+        table_of = odds.value
         for b in batches:
             rows = []
-            for k, u in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            for k, u, of_host in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 host, path = parts(u)
                 rule, verdict = ruled(host, path, rules)
-                of_host, of_path = model.tokens(host, path)
+                of_host, of_path = of_host.split(), path_tokens(path)
                 x = prior + sum(table_of[bucket("h", t)] for t in of_host) + sum(table_of[bucket("p", t)] for t in of_path)
                 rows.append((k, host, path, rule, verdict or ("block" if x > 0 else "allow"), float(x), " ".join(of_host)))
             yield table(SCORED, rows)

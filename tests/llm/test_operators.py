@@ -92,6 +92,18 @@ def test_urls(spark):
     assert urls.filter_urls(pages.where("false"), "page_id", "url", "html").count() == 0
 
 
+def test_urls_know_every_word(spark):
+    """More words of one count than a model of 50,000 would hold: names are still cut at them."""
+    letters = lambda i: "".join(chr(97 + i // 26**k % 26) for k in range(4))
+    words = [f"{letters(i)}q" for i in range(60_000)]
+    rows = [(i, f"http://{words[i * 150]}{words[i * 150 + 77]}.org/{i}", " ".join(words[i * 150 : i * 150 + 150])) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.segmented for r in urls.filter_urls(pages, "page_id", "url", "html").collect()}
+    model = urls.Segmenter({w: 1 for w in words} | {s: 1 for s in urls.SEEDS})
+    assert got == {i: " ".join(model.split(u[7:].split(".")[0]) + model.split("org")) for i, u, _ in rows}
+    assert got[7].startswith(f"{words[1050]} {words[1127]} ")
+
+
 def test_viterbi_is_the_best_split():
     counts = {"a": 5, "ab": 9, "b": 3, "ba": 2, "abc": 1, "c": 4}
     model = urls.Segmenter(counts)
