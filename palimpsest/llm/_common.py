@@ -33,10 +33,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def tuned(spark: SparkSession) -> None:
-    """Small Arrow batches, so that a worker's memory stays bounded on long texts; kept if set already."""
+    """Arrow batches of bounded bytes, so that a worker's memory stays bounded on long texts; kept if set already."""
     if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000") == "10000":
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def scratch(spark: SparkSession, label: str) -> str:
@@ -126,6 +126,23 @@ def unpacked_keys(data: bytes) -> np.ndarray:
     return np.cumsum(unplanes(data, np.uint64), dtype=np.uint64)
 
 
+def runs_of(batches, column: int = 0):
+    """Batches sorted by a column, dealt anew so that none of its values spans two."""
+    held = None
+    for batch in batches:
+        if held is not None:
+            batch = pa.concat_batches([held, batch])
+        if not batch.num_rows:
+            continue
+        keys = batch.column(column).to_numpy()
+        end = int(np.searchsorted(keys, keys[-1]))
+        held = batch.slice(end)
+        if end:
+            yield batch.slice(0, end)
+    if held is not None:
+        yield held
+
+
 def table(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     """An Arrow batch of rows; ``schema`` lists name:type pairs of Arrow type aliases."""
     fields = [x.split(":") for x in schema.split()]
@@ -139,30 +156,74 @@ def ddl(schema: str) -> str:
     return ", ".join(f"{n} {kinds.get(t, t)}" for n, t in (x.split(":") for x in schema.split()))
 
 
+class Forest(dict):
+    """Union-find over any orderable nodes; a root is the least node joined to it."""
+
+    def root(self, x):
+        top = x
+        while (up := self.get(top, top)) != top:
+            top = up
+        while x != top:
+            self[x], x = top, self.get(x, x)
+        return top
+
+    def join(self, x, y) -> bool:
+        """Whether x and y were apart."""
+        x, y = self.root(x), self.root(y)
+        if x != y:
+            self[max(x, y)] = min(x, y)
+        return x != y
+
+
+#: Edges that one task folds at a time before they are sent on.
+FOLD = 200_000
+
+
+def _folded(batches):
+    """Edges (a, b) as stars around the least node that each run of ``FOLD`` edges joins."""
+    kind, forest, n = None, Forest(), 0
+
+    def stars():
+        rows = [(x, r) for x in forest if (r := forest.root(x)) != x]
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i in (0, 1)], names=["a", "b"])
+
+    for batch in batches:
+        kind = batch.schema.field(0).type
+        for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            forest.join(x, y)
+        n += batch.num_rows
+        if n > FOLD:
+            yield stars()
+            forest.clear()
+            n = 0
+    if n:
+        yield stars()
+
+
 def connected(edges: DataFrame, label: str = "components") -> DataFrame:
     """Components of an undirected graph, as (node, component): the least node reachable.
 
-    ``edges`` has columns a and b of one orderable type.  Alternates the
-    large-star and small-star steps; every round is written to the shared
-    folder and only one changed/unchanged count returns to the driver.  Both
-    steps send each node to at most its least neighbour, so a hub costs its
-    degree and no more.
+    ``edges`` has columns a and b of one orderable type.  Tasks first fold
+    runs of edges into stars by union-find, then the large-star and small-star
+    steps alternate until every node hangs on one root; each round is written
+    to the shared folder and one row returns to the driver.  A hub's rows are
+    folded by partial min() before the shuffle, and the join back to them is
+    split by adaptive execution.
     """
-    # a hub's rows are folded by partial min() before the shuffle; the join back is split by AQE
-    now = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), label)
-    first = now
+    kind = f"a {edges.schema['a'].dataType.simpleString()}, b {edges.schema['a'].dataType.simpleString()}"
+    now = written(edges.select("a", "b").mapInArrow(_folded, kind).distinct(), label)
     while True:
-        both = now.select("a", "b").unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        ends = now.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(now.select(F.col("b").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        loose = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0")
+        if loose.isEmpty():
+            out = now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            out._palimpsest_path = now._palimpsest_path
+            return out
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b").distinct()
-        new = written(small, label)
-        same = new.count() == now.count() and new.exceptAll(now).isEmpty()
-        if now is not first:
-            forget(now)
+        small = large.join(down, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*").where("a != b")
+        new = written(small.mapInArrow(_folded, kind).distinct(), label)
+        forget(now)
         now = new
-        if same:
-            break
-    forget(first)
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -121,13 +121,14 @@ def predict(docs: DataFrame, text: str, model: tuple[list[str], np.ndarray], kee
     spark = docs.sparkSession
     names, matrix = model
     sent = spark.sparkContext.broadcast((np.ascontiguousarray(matrix[:, :BUCKETS].T), matrix[:, BUCKETS]))
-    base = docs.select(*keep, F.col(text).alias("__text"))
-    width = len(base.columns) - 1
+    base = docs.select(*keep, F.col(text).alias("__text")) if text not in keep else docs.select(*keep)
+    width = len(keep)
+    place = keep.index(text) if text in keep else width
 
     def score(batches):
         table_of, prior = sent.value
         for b in batches:
-            texts = b.column(width).to_pylist()
+            texts = b.column(place).to_pylist()
             logs, n, has = np.zeros((len(texts), len(names))), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
             for run in pieces(texts):
                 at = np.array([i for i, _ in run])
