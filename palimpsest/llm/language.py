@@ -9,7 +9,8 @@ batch at once in numpy.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0;
 with no labelled training row everything is ``und``; ties go to the language
-first in alphabetical order; null labels don't train.  The score is the
+first in alphabetical order; null labels don't train; texts longer than
+``PIECE`` characters are worked through in parts, which lose no n-gram.  The score is the
 posterior of the best language with the evidence tempered to at most
 ``EVIDENCE`` independent n-grams, so that it stays informative on long texts.
 """
@@ -43,8 +44,11 @@ def _letters() -> np.ndarray:
     return out
 
 
-def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of the texts, which text each belongs to, and whether a text has a letter."""
+def grams(texts: list[str], starts_in: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets of all n-grams of the texts, which text each belongs to, and whether a text has a letter.
+
+    ``starts_in``: of each text, only n-grams that start in so many first characters.
+    """
     data = np.frombuffer(" ".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), np.uint32)
     data = _letters()[data]
     lengths = np.fromiter(map(len, texts), np.int64, len(texts)) + 1
@@ -53,6 +57,7 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     owner = np.repeat(np.arange(len(texts), dtype=np.int32), lengths)
     found, owners, code = [], [], np.zeros(len(data), np.uint64)
     letter = data != SPACE
+    inside = None if starts_in is None else np.arange(len(data)) - starts[owner] < np.array(starts_in, np.int64)[owner]
     for k in range(max(ORDERS)):
         # a gram that starts at i takes characters i..i+k of the same text; one of spaces alone is left out
         n = len(data) - k
@@ -61,18 +66,23 @@ def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         code = (code[:n] << np.uint64(21)) | data[k:]
         some = letter[:n] | letter[k:]
         if k + 1 in ORDERS:
-            keep = np.flatnonzero(some & (owner[:n] == owner[k:]))
+            some_here = some & (owner[:n] == owner[k:])
+            keep = np.flatnonzero(some_here if inside is None else some_here & inside[:n])
             found.append((mixed(code[keep], k + 1) >> np.uint64(64 - 15)).astype(np.int32))
             owners.append(owner[keep])
     return np.concatenate(found) if found else np.zeros(0, np.int32), np.concatenate(owners) if owners else np.zeros(0, np.int32), has
 
 
 def pieces(texts: list[str | None]):
-    """Runs of (index, text) of about PIECE characters; a longer text is cut, its parts follow one another."""
+    """Runs of (index, text, n) of about PIECE characters.
+
+    A longer text is cut; the n-grams that start in the first n characters of
+    a part are its own, the few characters after them complete the last ones.
+    """
     run, size = [], 0
     for i, t in enumerate(texts):
         for at in range(0, len(t), PIECE) if t else ():
-            run.append((i, t[at : at + PIECE]))
+            run.append((i, t[at : at + PIECE + max(ORDERS) - 1], min(PIECE, len(t) - at)))
             size += len(run[-1][1])
             if size >= PIECE:
                 yield run
@@ -91,9 +101,9 @@ def train(docs: DataFrame, text: str, label: str) -> tuple[list[str], np.ndarray
         for b in batches:
             texts, labels = b.column(0).to_pylist(), b.column(1).to_pylist()
             for run in pieces(texts):
-                buckets, owners, _ = grams([t for _, t in run])
-                names = sorted({labels[i] for i, _ in run})
-                which = np.array([names.index(labels[i]) for i, _ in run], np.int32)[owners]
+                buckets, owners, _ = grams([t for _, t, _ in run], [n for _, _, n in run])
+                names = sorted({labels[i] for i, _, _ in run})
+                which = np.array([names.index(labels[i]) for i, _, _ in run], np.int32)[owners]
                 for k, name in enumerate(names):
                     one = seen.setdefault(name, np.zeros(BUCKETS + 1, np.int64))
                     one[:BUCKETS] += np.bincount(buckets[which == k], minlength=BUCKETS)
@@ -131,8 +141,8 @@ def predict(docs: DataFrame, text: str, model: tuple[list[str], np.ndarray], kee
             texts = b.column(place).to_pylist()
             logs, n, has = np.zeros((len(texts), len(names))), np.zeros(len(texts), np.int64), np.zeros(len(texts), bool)
             for run in pieces(texts):
-                at = np.array([i for i, _ in run])
-                buckets, owners, letters = grams([t for _, t in run])
+                at = np.array([i for i, _, _ in run])
+                buckets, owners, letters = grams([t for _, t, _ in run], [m for _, _, m in run])
                 np.logical_or.at(has, at, letters)
                 for k in range(len(names)):
                     np.add.at(logs[:, k], at, np.bincount(owners, table_of[:, k][buckets], len(run)))
