@@ -100,7 +100,7 @@ class Batch:
         """Totals of words and of pairs in this batch's own numbering; replies sorted by (kind, shard)."""
         out = []
         for kind in (0, 1):
-            got = np.concatenate([unplanes(r[column], np.uint32) for r in replies if r["kind"] == kind])
+            got = np.concatenate([unplanes(r[column], np.uint64) for r in replies if r["kind"] == kind])
             one = np.empty(len(got), np.float64)
             one[self.order[kind]] = got
             out.append(one)
@@ -182,7 +182,7 @@ def score_corpus(docs: DataFrame, key: str, text: str, held: Column) -> DataFram
             for b, d, s, k in zip(rows["batch"], rows["dev"], rows["shard"], keys, strict=True):
                 own = inverse[at : at + len(k)]
                 at += len(k)
-                out.append((b, s, d, kind, planes(every[own].astype(np.uint32)), planes(dev[own].astype(np.uint32)) if d else None, None, None, None))
+                out.append((b, s, d, kind, planes(every[own].astype(np.uint64)), planes(dev[own].astype(np.uint64)) if d else None, None, None, None))
         return pa.Table.from_batches([batch_of(REPLY, list(zip(*out, strict=True)))])
 
     replies = written(packed.mapInArrow(send, MESSAGE).groupBy("shard").applyInArrow(total_up, REPLY), "replies")
