@@ -18,8 +18,8 @@ the larger of two folds onto the smaller.
 
 First, lists of up to ``SHORT`` sets give all pairs that the sketches allow,
 and the pairs of a spanning forest of least differences are checked.  A set in
-longer lists takes part in one of them, in one of its blocks of about
-``BLOCK`` sets.  Then, with the components these links make, what is left is
+longer lists takes part in two of them, in one block of about ``BLOCK`` sets
+of each.  Then, with the components these links make, what is left is
 checked exactly: pairs of short lists across components, and in each longer
 list the sets outside its largest component, block by block, against all
 others of it.  So near copies cost what they have in members, not in links.
@@ -327,11 +327,12 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
     mended = rest.where(F.col("length") <= SHORT).groupBy("key").agg(F.array_sort(F.flatten(F.collect_list("ids"))).alias("ids"))
     short = lists.where("whole").select("ids").unionByName(mended.select("ids")).distinct()
     long_ = written(rest.where(F.col("length") > SHORT).select("key", "length", F.explode("ids").alias("sid")), "long-lists")
-    # a set of long lists takes part in one of them, in one block; a few stand in the next block too, as bridges
+    # a set of long lists takes part in two of them, in one block each; a few stand in the next block too, as bridges
     blocks = F.ceil(F.col("length") / BLOCK).cast("long")
     block = F.pmod(F.xxhash64("sid"), blocks)
     bridge = F.when(F.pmod(F.xxhash64("sid", F.lit(1)), F.lit(32)) == 0, F.array(block, F.pmod(block + 1, blocks))).otherwise(F.array(block))
-    chosen = long_.groupBy("sid").agg(F.min(F.struct("key", "length")).alias("l")).select("sid", "l.*").select("key", "sid", F.explode(F.array_distinct(bridge)).alias("block"))
+    ends = long_.groupBy("sid").agg(F.min(F.struct("key", "length")).alias("least"), F.max(F.struct("key", "length")).alias("most"))
+    chosen = ends.select("sid", F.explode(F.array_distinct(F.array("least", "most"))).alias("l")).select("sid", "l.*").select("key", "sid", F.explode(F.array_distinct(bridge)).alias("block"))
     members = short.select(F.xxhash64("ids").alias("list"), F.explode("ids").alias("sid"), F.lit(False).alias("long")).unionByName(chosen.select(F.xxhash64("key", "block").alias("list"), "sid", F.lit(True).alias("long")))
     told = members.join(own.select("sid", "n", "flips"), "sid").select("list", "sid", "n", "flips", "long")
 
