@@ -87,7 +87,7 @@ def edited_fingerprints(docs: DataFrame, key: str, text: str) -> DataFrame:
                     rows.append(((at + 1) % len(cuts), 1, k, t))
             yield table(parts, rows)
 
-    dealt = base.mapInArrow(deal, ddl(parts)).repartition("bucket").sortWithinPartitions(F.col("bucket"), F.col("border"), F.col("doc_id").desc_nulls_last(), F.col("text"))
+    dealt = base.mapInArrow(deal, ddl(parts)).repartition(max(1, len(cuts)), "bucket").sortWithinPartitions(F.col("bucket"), F.col("border"), F.col("doc_id").desc_nulls_last(), F.col("text"))
 
     def judge(batches):
         hashes = WordHashes()
