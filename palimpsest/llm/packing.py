@@ -113,12 +113,11 @@ class Encoder:
 def pieces(docs: DataFrame, key: str, text: str, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
     """One row for each piece of each document, with its length and the checksum of its ids."""
     tuned(docs.sparkSession)
-    path = vocabulary or vocabulary_path()
     end = np.array([END_ID], "<u4").tobytes()
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
-        encode = Encoder(path)
+        encode = Encoder(vocabulary or vocabulary_path())  # where this worker has it
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)
