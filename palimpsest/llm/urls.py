@@ -4,16 +4,20 @@ A host's names are cut at dots, hyphens and digits; what remains is split
 into words by the best unigram path (Viterbi), with word counts taken from the
 text of all pages.  Host words and path tokens are hashed into ``BUCKETS``
 counters and scored by multinomial naive Bayes.  The training label of a url
-is weak: it is a block example when a segmented host or path token is one of
-``seeds``, else an allow example; all urls train.
+comes from its page, not from the tokens that are scored: it is a block
+example when at least one in ``PER`` words of the visible text is one of
+``seeds``, else an allow example.  Without a text column the url's own tokens
+stand in for the text.
 
 Defined cases: a null url, or one without ``://``, has empty host and path and
 is allowed unless a rule says otherwise; a path that is empty does not start
-with ``/``, so no rule with a path fits it; an empty table gives no rows; with
-no training rows the prior alone decides (allow).  The vocabulary keeps the
-``VOCABULARY`` most frequent words (ties by word): it is the model's capacity,
-and words beyond it are spelled out by the unknown-word model.  Both models
-are therefore bounded whatever the corpus.
+with ``/``, so no rule with a path fits it; a page without words is an allow
+example; repeated rows train as often as they occur; an empty table gives no
+rows; with no training rows the prior alone decides (allow).  A name of more
+than 253 letters, which no host has, is left whole.  Words have at most
+``LONGEST`` letters; longer ones are spelled out by the unknown-word model.
+The counts of all words stay a table, only the substrings of the distinct host
+names are looked up in it.
 """
 
 from __future__ import annotations
@@ -25,12 +29,12 @@ from functools import lru_cache
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import ddl, forget, table, tuned, written
 
-BUCKETS, LONGEST = 1 << 15, 24
+BUCKETS, LONGEST, PER = 1 << 15, 24, 500
 #: The rules (host, path, verdict), and the seed words of blocked names.
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 SEEDS = ("ads", "adult", "adware", "bet", "bets", "betting", "casino", "gambling", "hack", "jackpot", "loan", "lottery", "malware", "phishing", "pills", "poker", "porn", "sex", "slots", "spam", "track", "viagra", "warez", "xxx")
@@ -157,38 +161,46 @@ def segmented(names: DataFrame, known: DataFrame, total: int) -> DataFrame:
     return each.select("name", F.coalesce("found", F.array().cast("array<struct<word:string,n:bigint>>")).alias("found")).mapInArrow(split, "name string, words string")
 
 
-def filter_urls(pages: DataFrame, key: str, url: str, html: str | None, rules=RULES, seeds: tuple[str, ...] = SEEDS) -> DataFrame:
-    """page_id, host, path, rule, verdict, log_odds and segmented host words of every row."""
+def labelled(text: str | None, seeds: frozenset[str]) -> int:
+    """1 where at least one in ``PER`` words of a page's visible text is a seed word."""
+    words = LETTERS.findall(TAG.sub(" ", text).lower()) if text else []
+    return int(0 < len(words) <= PER * sum(w in seeds for w in words))
+
+
+def filter_urls(pages: DataFrame, key: str, url: str, html: str | None, rules=RULES, seeds: tuple[str, ...] = SEEDS, train: Column | None = None) -> DataFrame:
+    """page_id, host, path, rule, verdict, log_odds and segmented host words of every row.
+
+    ``train`` tells the rows whose labels are learned from; all if it is not given.
+    """
     tuned(pages.sparkSession)
     spark = pages.sparkSession
-    base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"))
+    base = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.col(html or url).alias("text"), F.coalesce(F.lit(True) if train is None else train, F.lit(False)).alias("train"))
     known, total = unigrams(pages, html or url, seeds)
+    bad = frozenset(seeds)
 
     def hosts_of(batches):
         for b in batches:
-            urls = b.column(1).to_pylist()
-            yield table("page_id:long url:string at:string", [(k, u, parts(u)[0]) for k, u in zip(b.column(0).to_pylist(), urls, strict=True)])
+            rows = zip(*(c.to_pylist() for c in b.columns), strict=True)
+            yield table("page_id:long url:string at:string label:int", [(k, u, parts(u)[0], labelled(t, bad) if learn else None) for k, u, t, learn in rows])
 
     def names_of(batches):
         for b in batches:
             yield table("at:string i:int name:string", [(h, i, x) for h in b.column(0).to_pylist() for i, x in enumerate(LETTERS.findall(h))])
 
-    of_page = written(base.mapInArrow(hosts_of, "page_id bigint, url string, at string"), "urls")
+    of_page = written(base.mapInArrow(hosts_of, "page_id bigint, url string, at string, label int"), "urls")
     names = written(of_page.select("at").distinct().mapInArrow(names_of, "at string, i int, name string"), "names")
     split = written(segmented(names.select("name").distinct(), known, total), "segmented")
     of_host = names.join(split, "name").groupBy("at").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "words"))), lambda x: x["words"]), " ").alias("words"))
-    base = written(of_page.join(of_host, "at", "left").select("page_id", "url", F.coalesce("words", F.lit("")).alias("words")), "host-words")
+    base = written(of_page.join(of_host, "at", "left").select("page_id", "url", F.coalesce("words", F.lit("")).alias("words"), "label"), "host-words")
     for one in (known, of_page, names, split):
         forget(one)
-    bad = frozenset(seeds)
     counted = "label:int bucket:int n:long"
 
     def count(batches):
         seen = np.zeros((2, BUCKETS + 1), np.int64)
         for b in batches:
-            for u, of_host in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for _, u, of_host, label in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 of_host, of_path = of_host.split(), path_tokens(parts(u)[1])
-                label = int(not bad.isdisjoint(of_host) or not bad.isdisjoint(of_path))
                 seen[label, BUCKETS] += 1
                 for kind, tokens in (("h", of_host), ("p", of_path)):
                     for t in tokens:
@@ -197,7 +209,7 @@ def filter_urls(pages: DataFrame, key: str, url: str, html: str | None, rules=RU
         yield table(counted, [(int(a), int(c), int(seen[a, c])) for a, c in at])
 
     counts = np.zeros((2, BUCKETS + 1), np.float64)
-    for r in base.mapInArrow(count, ddl(counted)).groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():
+    for r in base.where("label is not null").mapInArrow(count, ddl(counted)).groupBy("label", "bucket").agg(F.sum("n").alias("n")).collect():
         counts[r.label, r.bucket] = r.n
     used = max(1, int((counts[:, :BUCKETS].sum(0) > 0).sum()))
     each = np.log(counts[:, :BUCKETS] + 1.0) - np.log(counts[:, :BUCKETS].sum(1, keepdims=True) + used)
@@ -208,7 +220,7 @@ def filter_urls(pages: DataFrame, key: str, url: str, html: str | None, rules=RU
         table_of = odds.value
         for b in batches:
             rows = []
-            for k, u, of_host in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for k, u, of_host, _ in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 host, path = parts(u)
                 rule, verdict = ruled(host, path, rules)
                 of_host, of_path = of_host.split(), path_tokens(path)
