@@ -83,13 +83,39 @@ def test_block_tables_find_all_within_the_radius(spark):
 
 def test_urls(spark):
     cases = {"HTTP://A.Example.com/en/x?q#f": ("a.example.com", "/en/x", "example.com/en/", "block"), "http://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"), "x://b.net/fr/1": ("b.net", "/fr/1", "net/fr/", "block"), "http://c.com": ("c.com", "", None, "allow"), "nothing": ("", "", None, "allow"), None: ("", "", None, "allow"), "http://notcom/": ("notcom", "/", None, "allow"), "http://q.com#a?b": ("q.com", "", None, "allow"), "http://h.com/a?b/c": ("h.com", "/a", "com/", "allow"), "": ("", "", None, "allow")}
-    rows = [(i, u, "<p>spam farm garden house words garden</p>", 1) for i, u in enumerate([*cases, "http://spamfarm.example.org/en/5", "http://garden.example.org/en/7"])]
+    clean, spam = "<p>farm garden house words garden</p>", "<p>spam farm <b>words</b></p>"
+    rows = [(i, u, clean, 1) for i, u in enumerate([*cases, "http://garden.example.org/en/7"])]
+    rows += [(len(rows) + i, "http://spamfarm.example.org/en/5", spam, 1) for i in range(6)]
+    rows += [(100, f"http://{'a' * 400}.org/x", None, 1), (100, f"http://{'a' * 400}.org/x", None, 1), (None, "http://é.com/x", "", 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int")
-    got = {r.page_id: r for r in urls.filter_urls(pages, "page_id", "url", "html").collect()}
+    all_ = urls.filter_urls(pages, "page_id", "url", "html").collect()
+    got = {r.page_id: r for r in all_}
+    assert len(all_) == len(rows) and got[100].segmented == "a" * 400 + " org" and got[None].segmented == "é com"
     for i, want in enumerate(cases.values()):
         assert (got[i].host, got[i].path, got[i].rule, got[i].verdict) == want
-    assert got[len(cases)].verdict == "block" and got[len(cases)].segmented == "spam farm example org" and got[len(cases) + 1].verdict == "allow"
+    n = len(cases)
+    assert got[n].verdict == "allow" and got[n + 1].verdict == "block" and got[n + 1].segmented == "spam farm example org"
     assert urls.filter_urls(pages.where("false"), "page_id", "url", "html").count() == 0
+    # naive Bayes by hand, over tokens instead of buckets
+    tokens = lambda r: [("h", t) for t in r.segmented.split()] + [("p", t) for t in urls.path_tokens(r.path)]
+    label = {k: int("spam" in (h or "")) for k, _, h, _ in rows}
+    seen = collections.Counter((label[r.page_id], t) for r in all_ for t in tokens(r))
+    used = len({t for _, t in seen})
+    total = [sum(c for (x, _), c in seen.items() if x == y) for y in (0, 1)]
+    prior = math.log((sum(label[r.page_id] for r in all_) + 1) / (sum(1 - label[r.page_id] for r in all_) + 2))
+    for r in all_:
+        want = prior + sum(math.log((seen[1, t] + 1) / (total[1] + used)) - math.log((seen[0, t] + 1) / (total[0] + used)) for t in tokens(r))
+        assert math.isclose(r.log_odds, want, abs_tol=1e-9)
+
+
+def test_urls_of_unseen_pages(spark):
+    """Precision and recall on pages that train nothing, against the labels of their text."""
+    pages = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    out = F.pmod(F.crc32(F.col("page_id").cast("string").cast("binary")), F.lit(4)) == 2
+    got = {r.page_id: r.log_odds > 0 for r in urls.filter_urls(pages, "page_id", "url", "html", train=~out).collect()}
+    want = {r.page_id: bool(urls.labelled(r.html, frozenset(urls.SEEDS))) for r in pages.where(out).collect()}
+    hits = sum(got[k] and v for k, v in want.items())
+    assert sum(want.values()) > 20 and hits >= 0.9 * sum(want.values()) and hits >= 0.9 * sum(got[k] for k in want)
 
 
 def test_urls_know_every_word(spark):
@@ -129,6 +155,36 @@ def test_language(spark, odd, none):
     assert {r.lang_pred for r in language.predict(odd, "text", language.train(none, "text", "lang"), ["doc_id"]).collect()} == {"und"}
 
 
+def test_language_counts_every_gram_of_a_long_text(monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choice("abc É1 ß") for _ in range(500))
+    whole = np.sort(language.grams([text])[0])
+    monkeypatch.setattr(language, "PIECE", 7)
+    parts = [language.grams([t for _, t, _ in run], [n for _, _, n in run])[0] for run in language.pieces([None, text, ""])]
+    assert np.array_equal(np.sort(np.concatenate(parts)), whole)
+
+
+def test_language_against_naive_bayes_by_hand(spark):
+    """Posteriors from plain dictionaries of n-grams, evidence tempered as the operator says."""
+    rng = random.Random(6)
+    make = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(5)) for _ in range(12))
+    rows = [(i, make("abcde") if i % 2 else make("cdefg"), ["x", "y"][i % 2]) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = language.predict(df, "text", language.train(df.where("doc_id < 30"), "text", "lang"), ["doc_id"]).collect()
+    of = lambda t: [(k, f" {t} "[i : i + k]) for k in language.ORDERS for i in range(1, len(t) + 2 - k + 1) if f" {t} "[i : i + k].strip()]
+    grams = lambda t: [g for g in of(t) if len(g[1]) == g[0]]
+    seen = {y: collections.Counter(g for _, t, x in rows[:30] if x == y for g in grams(t)) for y in "xy"}
+    logs = {}
+    for y in "xy":
+        total = sum(seen[y].values()) + 0.5 * language.BUCKETS
+        logs[y] = {g: math.log((seen[y][g] + 0.5) / total) for g in set(seen["x"]) | set(seen["y"])} | {None: math.log(0.5 / total)}
+    for r in got:
+        g = grams(rows[r.doc_id][1])
+        points = {y: min(1, language.EVIDENCE / len(g)) * sum(logs[y].get(x, logs[y][None]) for x in g) + math.log(0.5) for y in "xy"}
+        best = max(points, key=points.get)
+        assert r.lang_pred == best and abs(r.score - 1 / sum(math.exp(p - points[best]) for p in points.values())) < 0.02
+
+
 def test_lm_base_and_weights(spark, odd, none):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text").where("doc_id is null or doc_id < 0 or doc_id > 1000"))
     got = lm.score_corpus(docs, "doc_id", "text", language.held_out("doc_id", 5, 1)).collect()
@@ -191,6 +247,43 @@ def test_jaccard_classes(spark, odd, none, width, num):
     assert ngram_join.jaccard_classes(none, "doc_id", "text").count() == 0
 
 
+def test_jaccard_of_a_hot_group(spark):
+    """Near copies beyond the length of short lists, repeated rows, and other sets that share their shingles."""
+    rng = random.Random(2)
+    make = lambda n: [rng.choice("abcdefghij") + str(rng.randrange(300)) for _ in range(n)]
+    hot, rows = make(100), []
+    for i in range(420):
+        w = list(hot)
+        for _ in range(rng.randrange(1, 7)):
+            w[rng.randrange(100)] = f"m{rng.randrange(10**6)}"
+        rows.append(" ".join(w))
+    rows += [" ".join(hot[:40] + make(60)) for _ in range(60)] + rows[:5] * 3
+    rng.shuffle(rows)
+    rows = [(3 * i, t) for i, t in enumerate(rows)]
+    got = ngram_join.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), "doc_id", "text").collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted(brute_classes([(k, words(t)) for k, t in rows], 3, 90, 100))
+
+
+def test_lists_are_the_same_however_they_are_cut():
+    """Lists over several tasks and batches: whole ones and pieces hold each entry of a list of two or more once."""
+    import pyarrow as pa
+
+    rng = random.Random(9)
+    sizes = [1, 2, 3, 31, 32, 33, 40, 1, 1, 2500, 2, 1024, 1025, 1, 5]
+    rows = [(k, i) for k, n in enumerate(sizes) for i in sorted(rng.sample(range(10**6), n))]
+    for cuts in ([], [700], [3, 40, 41, 900, 2600]):
+        pieces: dict = collections.defaultdict(list)
+        for a, b in zip([0, *cuts], [*cuts, len(rows)], strict=True):
+            batches = [pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows[x : min(x + 97, b)]], pa.int64()) for j in (0, 1)], names=["key", "sid"]) for x in range(a, b, 97)]
+            for out in ngram_join.scan(iter(batches)):
+                for key, ids, whole in zip(*(c.to_pylist() for c in out.columns), strict=True):
+                    assert len(ids) <= (ngram_join.SHORT if whole else ngram_join.PIECE) and (not whole or len(ids) == sizes[key])
+                    pieces[key] += ids
+        for key, n in enumerate(sizes):
+            want = [i for k, i in rows if k == key]
+            assert sorted(pieces[key]) == want or (n == 1 and not pieces[key])
+
+
 def test_subsets_meet_whenever_light_sets_link():
     rng = np.random.default_rng(2)
     for _ in range(300):
@@ -268,7 +361,7 @@ def test_repeats_with_inserted_and_deleted_words(spark):
             continue
         a, b = (np.array(x, np.uint32) for x in (new(30) + p + new(20), new(70) + q + new(33)))
         near = _in_common(p, q)
-        seed = next(d for d in range(20, 60) if len(passages.runs_on(a, b, d)[0]))
+        seed = next(d for d in range(20, 60) if len(passages.Runs([(a, b, [d])]).start))
         got = passages.passages(a, b, [seed])
         whole = [r for r in got if r[0] == 70 and r[0] + r[1] == 70 + len(q)]
         assert bool(whole) == (near >= passages.SIMILAR), near
@@ -288,6 +381,30 @@ def test_repeats_with_inserted_and_deleted_words(spark):
     assert len(found) >= 36 and all((k % 2, r.start, r.n_words, r.source_id, r.source_start) == (1, 20, 81, k - 1, 70) for k, r in found.items())
 
 
+def test_holders_of_a_common_line_find_their_partners():
+    """Links under keys that 600 documents hold: of pairs that share a few words more than the line."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    rng = random.Random(7)
+    word = lambda: np.uint64(rng.getrandbits(64))
+    line = [word() for _ in range(46)]
+    sides = [([word() for _ in range(60)], [word() for _ in range(60)]) for _ in range(600)]
+    pairs = [(i, i + 300) for i in range(0, 300, 5)]
+    for i, j in pairs:
+        sides[j][0][-3:], sides[j][1][:3] = sides[i][0][-3:], sides[i][1][:3]
+    docs = [(i, np.array(a + line + b, np.uint64)) for i, (a, b) in enumerate(sides)]
+    rows = pa.Table.from_batches([passages.window_rows(docs[i : i + 40]) for i in range(0, len(docs), 40)])
+    order = [(c, "ascending") for c in ("key", "ctx", "doc", "c")]
+    seen = collections.Counter()
+    for second in (False, True):
+        out = pa.Table.from_batches(list(passages.scan(iter(rows.sort_by(order).to_batches(100)), second)), schema=rows.schema)
+        for a, b, same in zip(*(out.filter(pc.is_valid(out["a"]))[c].to_pylist() for c in ("a", "b", "same")), strict=True):
+            seen[a, b] += 2 if same else 1
+        rows = out.filter(pc.is_null(out["a"]))
+    assert sum(seen[p] > 1 for p in pairs) >= 0.8 * len(pairs) and len(seen) < 20 * len(docs)
+
+
 def test_contamination(spark, odd, none):
     items = [(1, " ".join(LONG.split()[5000:5030])), (2, "One, TWO!"), (3, None), (4, ""), (5, "never seen anywhere at all " * 3), (6, " ".join(LONG.split()[9:29] + ["x"] * 3)), (2, "one two")]
     bench = spark.createDataFrame([(k, t, 0) for k, t in items], "item_id long, text string, doc_id int")
