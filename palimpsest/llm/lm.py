@@ -11,7 +11,9 @@ shared folder.  It sends its distinct n-grams with their counts to shards by
 hash and gets the totals back: one exchange each way, proportional to the
 distinct n-grams, nothing per token and nothing to the driver but the sizes
 and one grid of fixed size for the weights.  Every n-gram of a batch is one
-key however often it occurs, so frequent ones don't make a shard hot.
+key however often it occurs.  More than ``FAN`` batches are combined in a tree
+of groups of about so many, and totals come down the same way, so a shard
+never gathers a frequent n-gram from all batches at once.
 
 Defined cases: a null text is empty (the end mark alone); null ids train;
 repeated rows count as often as they occur; without training rows N and V are
@@ -30,11 +32,11 @@ from pyspark.sql import functions as F
 from ._common import MIX, WordHashes, mixed, packed_keys, planes, tuned, unpacked_keys, unplanes, words_of, written
 from .language import held_out
 
-TOKENS, SHARD_KEYS, DEV = 300_000, 1_000_000, 16
+TOKENS, SHARD_KEYS, DEV, FAN = 300_000, 1_000_000, 16, 4096
 CONTEXTS, STEPS, ITERATIONS = 32, 64, 60
 END = np.uint64(xxhash.xxh3_64_intdigest(b"\x00end"))
 PACKED = "batch bigint, dev int, n_tokens bigint, ids array<bigint>, held array<boolean>, lengths binary, words binary, stream binary"
-MESSAGE = "shard bigint, batch bigint, dev int, kind int, keys binary, counts binary"
+MESSAGE = "shard bigint, batch bigint, dev int, kind int, keys binary, counts binary, dev_counts binary"
 REPLY = "batch bigint, shard bigint, dev int, kind int, total binary, dev_total binary, n_types bigint, n_tokens bigint, n_dev bigint"
 
 
@@ -94,7 +96,7 @@ class Batch:
     def counts(self) -> list[np.ndarray]:
         """Training counts in the order of the keys."""
         train = np.repeat(~self.held, self.lengths)
-        return [np.bincount(at[train], minlength=len(o)).astype(np.uint32)[o] for at, o in zip((self.stream, self.pair), self.order, strict=True)]
+        return [np.bincount(at[train], minlength=len(o)).astype(np.uint64)[o] for at, o in zip((self.stream, self.pair), self.order, strict=True)]
 
     def totals(self, replies: list, column: str) -> tuple[np.ndarray, np.ndarray]:
         """Totals of words and of pairs in this batch's own numbering; replies sorted by (kind, shard)."""
@@ -134,6 +136,66 @@ def weights(grid: np.ndarray, uniform: float) -> np.ndarray:
     return out
 
 
+def _summed(group: pa.Table):
+    """Of each kind in a group of MESSAGE: its rows, distinct keys, each row's places in them, and the sums of all and of dev counts."""
+    for kind in (0, 1):
+        rows = group.filter(pa.compute.equal(group.column("kind"), kind)).to_pydict()
+        if not rows["batch"]:
+            continue
+        keys = [unpacked_keys(k) for k in rows["keys"]]
+        found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
+        every, dev = np.zeros(len(found), np.uint64), np.zeros(len(found), np.uint64)
+        own = np.split(inverse, np.cumsum([len(k) for k in keys])[:-1])
+        for at, c, d, flag in zip(own, rows["counts"], rows["dev_counts"], rows["dev"], strict=True):
+            if c is None:
+                continue
+            every[at] += (c := unplanes(c, np.uint64))
+            if d or flag:
+                dev[at] += unplanes(d, np.uint64) if d else c
+        yield kind, rows, found, own, every, dev
+
+
+def _told(rows: dict, own: list, every: np.ndarray, dev: np.ndarray, kind: int) -> list[tuple]:
+    return [(b, s, d, kind, planes(every[at]), planes(dev[at]) if d else None, None, None, None) for b, s, d, at in zip(rows["batch"], rows["shard"], rows["dev"], own, strict=True)]
+
+
+def _total_up(group: pa.Table) -> pa.Table:
+    """REPLY to each message of a shard, and its sizes as one row of batch -1."""
+    out = []
+    for kind, rows, _, own, every, dev in _summed(group):
+        if kind == 0:
+            out.append((-1, rows["shard"][0], 0, 0, None, None, int((every > 0).sum()), int(every.sum()), int(dev.sum())))
+        out += _told(rows, own, every, dev, kind)
+    return pa.Table.from_batches([batch_of(REPLY, list(zip(*out, strict=True)))])
+
+
+def totals(sent: DataFrame, batches: int, fan: int = FAN) -> DataFrame:
+    """REPLY to every message: the sums over all batches of the n-grams it names."""
+    if batches <= fan:
+        return sent.groupBy("shard").applyInArrow(_total_up, REPLY)
+    parts = -(-batches // fan)
+
+    def fold(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        out = [(rows["shard"][0], part, 1, kind, packed_keys(found), planes(every), planes(dev)) for kind, rows, found, _, every, dev in _summed(group.drop_columns("part"))]
+        return pa.Table.from_batches([batch_of(MESSAGE, list(zip(*out, strict=True)))])
+
+    def hand_down(group: pa.Table) -> pa.Table:
+        """Replies to the messages of a part, from the reply to the part itself, whose rows have no keys."""
+        answers = {r["kind"]: r for r in group.filter(pa.compute.is_null(group.column("keys"))).to_pylist()}
+        out = []
+        for kind, rows, _, own, _, _ in _summed(group.filter(pa.compute.is_valid(group.column("keys"))).drop_columns("part")):
+            out += _told(rows, own, unplanes(answers[kind]["counts"], np.uint64), unplanes(answers[kind]["dev_counts"], np.uint64), kind)
+        return pa.Table.from_batches([batch_of(REPLY, list(zip(*out, strict=True)))])
+
+    sent = written(sent.withColumn("part", F.pmod(F.xxhash64("batch"), F.lit(parts)).cast("bigint")), "messages")
+    folded = written(sent.groupBy("shard", "part").applyInArrow(fold, MESSAGE), "folded")
+    above = written(totals(folded, parts, fan), "folded-replies")
+    answers = above.where("batch >= 0").select("shard", F.col("batch"), "dev", "kind", F.lit(None).cast("binary").alias("keys"), F.col("total").alias("counts"), F.col("dev_total").alias("dev_counts"), F.col("batch").alias("part"))
+    down = sent.withColumn("counts", F.lit(None).cast("binary")).unionByName(answers)
+    return down.groupBy("shard", "part").applyInArrow(hand_down, REPLY).unionByName(above.where("batch = -1"))
+
+
 def score_corpus(docs: DataFrame, key: str, text: str, held: Column) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
@@ -162,30 +224,10 @@ def score_corpus(docs: DataFrame, key: str, text: str, held: Column) -> DataFram
                 one = Batch(row)
                 for kind, (keys, counts) in enumerate(zip(one.keys, one.counts(), strict=True)):
                     cuts = np.searchsorted(keys, np.arange(1, 1 << bits, dtype=np.uint64) << np.uint64(64 - bits))
-                    rows = [(s, row["batch"], row["dev"], kind, packed_keys(k), planes(c)) for s, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(k)]
+                    rows = [(s, row["batch"], row["dev"], kind, packed_keys(k), planes(c), None) for s, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(k)]
                     yield batch_of(MESSAGE, list(zip(*rows, strict=True)))
 
-    def total_up(group: pa.Table) -> pa.Table:
-        out = []
-        for kind in (0, 1):
-            rows = group.filter(pa.compute.equal(group.column("kind"), kind)).select(["batch", "dev", "shard", "keys", "counts"]).to_pydict()
-            if not rows["batch"]:
-                continue
-            keys = [unpacked_keys(k) for k in rows["keys"]]
-            counts = [unplanes(c, np.uint32) for c in rows["counts"]]
-            found, inverse = np.unique(np.concatenate(keys), return_inverse=True)
-            every = np.bincount(inverse, np.concatenate(counts), len(found))
-            dev = np.bincount(inverse, np.concatenate([c * np.uint32(d) for c, d in zip(counts, rows["dev"], strict=True)]), len(found))
-            if kind == 0:
-                out.append((-1, rows["shard"][0], 0, 0, None, None, int((every > 0).sum()), int(every.sum()), int(dev.sum())))
-            at = 0
-            for b, d, s, k in zip(rows["batch"], rows["dev"], rows["shard"], keys, strict=True):
-                own = inverse[at : at + len(k)]
-                at += len(k)
-                out.append((b, s, d, kind, planes(every[own].astype(np.uint64)), planes(dev[own].astype(np.uint64)) if d else None, None, None, None))
-        return pa.Table.from_batches([batch_of(REPLY, list(zip(*out, strict=True)))])
-
-    replies = written(packed.mapInArrow(send, MESSAGE).groupBy("shard").applyInArrow(total_up, REPLY), "replies")
+    replies = written(totals(packed.mapInArrow(send, MESSAGE), packed.count()), "replies")
     sizes = replies.where("batch = -1").agg(F.sum("n_types"), F.sum("n_tokens"), F.sum("n_dev")).first()
     n_types, n_train, n_dev = (int(x or 0) for x in sizes)
     gathered = replies.where("batch >= 0").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("kind", "shard", "total", "dev_total"))).alias("replies"))
