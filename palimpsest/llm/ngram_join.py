@@ -374,8 +374,10 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
             F.transform(F.filter(up_to(F.col("others")), lambda i: i < own_block), lambda i: pair(1, i, own_block, 1)),
             F.array(pair(1, own_block, own_block, 2)),
         )
-        dealt = some.select("key", "sid", "home", F.explode(F.when(F.col("home") == F.col("main"), inside).otherwise(outside)).alias("p")).select(F.xxhash64("key", "p.kind", "p.i", "p.j").alias("list"), "sid", "home", "p.side")
-        faced = dealt.join(own.select("sid", "n", "flips"), "sid").select("list", "sid", "n", "flips", "home", "side")
+        dealt = some.select("key", "sid", "home", F.explode(F.when(F.col("home") == F.col("main"), inside).otherwise(outside)).alias("p")).select(F.xxhash64("key", "p.kind", "p.i", "p.j").alias("list"), "sid", "home", "p.side", "key")
+        # a pair is given in the least of its common lists alone; a set has fewer lists than shingles
+        mine = long_.groupBy("sid").agg(F.collect_list("key").alias("keys"))
+        faced = dealt.join(own.select("sid", "n", "flips").join(mine, "sid"), "sid").select("list", "sid", "n", "flips", "home", "side", "key", "keys")
 
         def across(batches):
             for b in runs_of(batches):
@@ -383,12 +385,15 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
                 home, side = b.column(4).to_numpy(), b.column(5).to_numpy()
                 cuts = np.flatnonzero(np.append(True, list_[1:] != list_[:-1]))
                 sketches, out = Sketches(b.column(3).to_pylist()), []
+                key, keys = b.column(6).to_pylist(), [frozenset(x) for x in b.column(7).to_pylist()]
                 for begin, end in zip(cuts, np.append(cuts[1:], len(list_)), strict=True):
                     one, two, three = (begin + np.flatnonzero(side[begin:end] == k) for k in range(3))
                     i, j = np.triu_indices(len(three), 1)
                     x, y = np.concatenate((np.repeat(one, len(two)), three[i])), np.concatenate((np.tile(two, len(one)), three[j]))
                     ok = (home[x] != home[y]) & (sid[x] != sid[y])
                     x, y, _ = likely(n, sketches, x[ok], y[ok], num, den)
+                    here = np.array([min(keys[i] & keys[j]) == key[i] for i, j in zip(x.tolist(), y.tolist(), strict=True)], bool)
+                    x, y = x[here], y[here]
                     out += zip(np.minimum(sid[x], sid[y]).tolist(), np.maximum(sid[x], sid[y]).tolist(), strict=True)
                 yield batch_of("a bigint, b bigint", list(zip(*set(out), strict=True)) or [[], []])
 
