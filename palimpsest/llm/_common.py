@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -39,8 +40,20 @@ def tuned(spark: SparkSession) -> None:
         spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+class _Made(threading.local):
+    """Paths of the tables that this thread wrote and did not delete since."""
+
+    def __init__(self):
+        self.paths: dict[str, None] = {}
+
+
+_made = _Made()
+
+
 def scratch(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    _made.paths[path] = None
+    return path
 
 
 def written(df: DataFrame, label: str) -> DataFrame:
@@ -52,13 +65,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+    _made.paths.pop(path, None)
+
+
 def forget(df: DataFrame) -> None:
     """Delete a table that ``written`` made and that nothing reads any more."""
     path = getattr(df, "_palimpsest_path", None)
     if path:
-        jvm = df.sparkSession._jvm
-        place = jvm.org.apache.hadoop.fs.Path(path)
-        place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+        _delete(df.sparkSession, path)
+
+
+def made() -> list[str]:
+    """This thread's tables that stand now; what a lazy result reads is among those made since an earlier call."""
+    return list(_made.paths)
+
+
+def drop(spark: SparkSession, earlier: list[str], *kept: DataFrame) -> None:
+    """Delete all tables made since ``earlier = made()``, but those given, once the results over them are written."""
+    keep = {*earlier, *(getattr(df, "_palimpsest_path", None) for df in kept)}
+    for path in made():
+        if path not in keep:
+            _delete(spark, path)
 
 
 def tidy(spark: SparkSession) -> None:

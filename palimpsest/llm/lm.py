@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import MIX, WordHashes, mixed, packed_keys, planes, tuned, unpacked_keys, unplanes, words_of, written
+from ._common import MIX, WordHashes, drop, made, mixed, packed_keys, planes, tuned, unpacked_keys, unplanes, words_of, written
 from .language import held_out
 
 TOKENS, SHARD_KEYS, DEV, FAN = 300_000, 1_000_000, 16, 4096
@@ -227,7 +227,9 @@ def score_corpus(docs: DataFrame, key: str, text: str, held: Column) -> DataFram
                     rows = [(s, row["batch"], row["dev"], kind, packed_keys(k), planes(c), None) for s, (k, c) in enumerate(zip(np.split(keys, cuts), np.split(counts, cuts), strict=True)) if len(k)]
                     yield batch_of(MESSAGE, list(zip(*rows, strict=True)))
 
+    before = made()
     replies = written(totals(packed.mapInArrow(send, MESSAGE), packed.count()), "replies")
+    drop(spark, before, replies)
     sizes = replies.where("batch = -1").agg(F.sum("n_types"), F.sum("n_tokens"), F.sum("n_dev")).first()
     n_types, n_train, n_dev = (int(x or 0) for x in sizes)
     gathered = replies.where("batch >= 0").groupBy("batch").agg(F.sort_array(F.collect_list(F.struct("kind", "shard", "total", "dev_total"))).alias("replies"))

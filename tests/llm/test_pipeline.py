@@ -51,7 +51,7 @@ def test_rows_of_one_id_are_judged_apart(spark):
     assert sorted((str(r.doc_id), r.text) for r in kept) == sorted([("1", a), ("1", b), ("None", c), ("3", "")])
     docs = _documents(spark, [(1, f"{a} {line}"), (1, b), (4, f"{line} {c}"), (4, b[:300]), (None, f"x {line} y")])
     cut = {(r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.without_passages(spark, docs, SF).collect()}
-    assert cut == {(1, f"{a} {line}", len(a) + 1 + len(line)), (1, b, len(b)), (4, c, len(c)), (None, "x y", 3)}
+    assert cut == {(1, f"{a} {line}", len(a) + 1 + len(line)), (1, b, len(b)), (4, c, len(c)), (4, b[:300], 300), (None, "x y", 3)}
     item = spark.read.parquet(f"{SF}/benchmark.parquet").first().text
     docs = _documents(spark, [(1, f"{a} {item}"), (1, b), (None, item), (None, c)])
     assert {(r.doc_id, r.text) for r in corpus_pipeline.decontaminated(spark, docs, SF).collect()} == {(1, b), (None, c)}
