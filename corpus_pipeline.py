@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palimpsest.llm import decontaminate, language, ngram_join, packing, passages
-from palimpsest.llm._common import forget, written
+from palimpsest.llm._common import drop, forget, made, written
 
 #: A document is rejected when the posterior of its language is lower than this.
 LEAST_SCORE = 0.5
@@ -115,5 +115,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name)
+        before, last = made(), docs
+        docs = written(stage(spark, last, sf_dir), name)
+        drop(spark, before, docs)
+        forget(last)
     return STAGES[-1][1](spark, docs, sf_dir)
