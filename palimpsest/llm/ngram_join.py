@@ -261,6 +261,7 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
     made = written(base.mapInArrow(make, SETS), "sets")
     folded = made.where("set is not null").groupBy("set").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("entries").alias("entries"), F.first("flips").alias("flips"))
     own = written(folded.withColumn("sid", F.monotonically_increasing_id()), "own-sets")
+    tidy(spark)
 
     def contents(asked: DataFrame) -> DataFrame:
         """(sid, grams) of the sets in column sid of ``asked``."""
@@ -321,6 +322,7 @@ def jaccard_classes(docs: DataFrame, key: str, text: str, width: int = 3, num: i
         entries = written(entries.unionByName(small.select("sid", "grams").mapInArrow(subsets, "key bigint, sid bigint")), "entries")
         forget(small)
     lists = written(entries.repartitionByRange("key", "sid").sortWithinPartitions("key", "sid").mapInArrow(scan, LISTS), "lists")
+    tidy(spark)
     pieces = lists.where("not whole")
     length = pieces.groupBy("key").agg(F.sum(F.size("ids")).alias("length"))
     rest = pieces.join(length.where(F.col("length") > 1), "key")
