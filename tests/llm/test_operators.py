@@ -6,9 +6,13 @@ import io
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -201,6 +205,22 @@ def test_lm_base_and_weights(spark, odd, none):
     assert all(r.train_tokens == 0 and r.n_known == 0 and math.isfinite(r.score) for r in only)
 
 
+def test_lm_totals_in_a_fresh_worker(tmp_path):
+    """A worker that no other operator ran in has imported nothing but the module itself."""
+    keys, counts = lm.packed_keys(np.array([3, 5], np.uint64)), lm.planes(np.array([1, 2], np.uint64))
+    sent = lm.batch_of(lm.MESSAGE, list(zip(*[(0, n, 0, 0, keys, counts, None) for n in (1, 2)], strict=True)))
+    with pa.OSFile(str(tmp_path / "sent"), "wb") as f, pa.ipc.new_file(f, sent.schema) as to:
+        to.write(sent)
+    code = f"""
+import pyarrow as pa
+from palimpsest.llm import lm
+out = lm._total_up(pa.ipc.open_file({str(tmp_path / "sent")!r}).read_all()).to_pylist()
+print([(r["batch"], r["n_types"], r["n_tokens"]) for r in out])
+"""
+    done = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[2], capture_output=True, text=True, timeout=120)
+    assert done.stdout.strip() == "[(-1, 2, 6), (1, None, None), (2, None, None)]", done.stderr
+
+
 def test_lm_score_against_exact_interpolation(spark):
     """Scores with weights from expectation-maximisation over every held-out token, no grid of half bits."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
