@@ -16,6 +16,7 @@ the incumbent is returned, which holds every piece all the same.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import unicodedata
@@ -46,8 +47,8 @@ def vocabulary_path(name: str = VOCAB) -> str:
     return public_tokenizers.path(name)
 
 
-class Encoder:
-    """Ids of a text as little-endian bytes; words between white space are encoded once and remembered.
+class Encoder(dict):
+    """Ids of a text as little-endian bytes; words between white space are encoded once and remembered, up to ``WORDS``.
 
     The merges of the vocabulary file are loaded as ranks over bytes, a word's
     end being the byte 0xFF, which UTF-8 never has: merging it to the last byte
@@ -76,9 +77,8 @@ class Encoder:
         for a, b in spec["model"]["merges"]:
             ranks[raw(a) + raw(b)] = len(ids)
             ids.append(vocab[a + b])
-        self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._encode_single_piece
-        self.split, self.ids = regex.compile(split), np.array(ids, "<u4")
-        self.seen: dict[str, bytes] = {}
+        self.merge = tiktoken.Encoding("words", pat_str=".+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
+        self.split, self.ids = regex.compile(split), [i.to_bytes(4, "little") for i in ids]
 
     def whole(self, text: str) -> bytes:
         return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -91,23 +91,25 @@ class Encoder:
             word = unicodedata.normalize("NFC", word)
             low = "".join(c.lower() for c in word) if "\u03a3" in word else word.lower()  # no final sigma
             parts = self.split.findall(low)
-        out: list[int] = []
-        for p in parts:
-            out += self.merge(p.encode() + b"\xff")
-        return self.ids[out].tobytes() if out else b""
+        ids, merge = self.ids, self.merge
+        return b"".join([ids[i] for p in parts for i in merge(p.encode() + b"\xff")])
+
+    def __missing__(self, word: str) -> bytes:
+        if len(self) >= WORDS:
+            self.clear()
+        self[word] = out = self.word(word)
+        return out
 
     def __call__(self, text: str) -> bytes:
         if UNSAFE.search(text):
             return self.whole(text)
-        seen, out = self.seen, []
-        for w in text.split():
-            got = seen.get(w)
-            if got is None:
-                if len(seen) >= WORDS:
-                    seen.clear()
-                got = seen[w] = self.word(w)
-            out.append(got)
-        return b"".join(out)
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+@functools.cache
+def encoder(path: str) -> Encoder:
+    """One a worker: tasks that follow in it find the merges loaded and the words remembered."""
+    return Encoder(path)
 
 
 def pieces(docs: DataFrame, key: str, text: str, capacity: int = CAPACITY, vocabulary: str | None = None) -> DataFrame:
@@ -117,7 +119,7 @@ def pieces(docs: DataFrame, key: str, text: str, capacity: int = CAPACITY, vocab
     base = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
 
     def run(batches):
-        encode = Encoder(vocabulary or vocabulary_path())  # where this worker has it
+        encode = encoder(vocabulary or vocabulary_path())  # where this worker has it
         for whole in batches:
             for at in range(0, whole.num_rows, 64):
                 b = whole.slice(at, 64)

@@ -528,6 +528,14 @@ def test_encoder_equals_the_tokenizer():
         assert encode(t) == encode.whole(t), t
 
 
+def test_encoder_is_kept_for_the_tasks_of_a_worker(monkeypatch):
+    path = packing.vocabulary_path()
+    encode = packing.encoder(path)
+    assert packing.encoder(path) is encode
+    monkeypatch.setattr(packing, "WORDS", 100)
+    assert encode(LONG[:9000]) == encode.whole(LONG[:9000]) and len(encode) <= 100
+
+
 def test_packing(spark, odd, none):
     got = packing.pack(odd, "doc_id", "text").collect()
     encode = packing.Encoder(packing.vocabulary_path())
