@@ -490,6 +490,21 @@ def test_holders_of_a_common_line_find_their_partners():
     assert sum(seen[p] > 1 for p in pairs) >= 0.75 * len(pairs) and len(seen) < 40 * len(docs)
 
 
+def test_equal_texts_are_searched_once(spark, monkeypatch):
+    """Copies are whole repeats of the first; a repeat that the first has is theirs too, and they add no pairs to verify."""
+    rng = random.Random(18)
+    text = lambda n: [f"{rng.choice('klmn')}{rng.randrange(10**9)}" for _ in range(n)]
+    line = text(60)
+    old, new = " ".join(text(30) + line), " ".join(line + text(90))
+    rows = [(1, old), *((i, new) for i in range(10, 40)), (10, new), (50, " ".join(text(7) + line)), (60, "too few"), (61, "too few")]
+    sizes, passages_of = [], passages.written
+    monkeypatch.setattr(passages, "written", lambda df, label: (out := passages_of(df, label), sizes.append(out.count()) if label == "passage-pairs" else None)[0])
+    docs = spark.createDataFrame(rows, "d long, t string").repartition(5)
+    got = sorted((r.doc_id, r.start, r.n_words, r.source_id, r.source_start, r.similarity) for r in passages.repeated_passages(docs, "d", "t").collect())
+    assert got == [(10, 0, 60, 1, 30, 1.0), *((i, 0, 150, 1, 30, 1.0) for i in range(11, 40)), (50, 7, 60, 1, 30, 1.0)]
+    assert sizes == [3]
+
+
 def test_contamination(spark, odd, none):
     items = [(1, " ".join(LONG.split()[5000:5030])), (2, "One, TWO!"), (3, None), (4, ""), (5, "never seen anywhere at all " * 3), (6, " ".join(LONG.split()[9:29] + ["x"] * 3)), (2, "one two")]
     bench = spark.createDataFrame([(k, t, 0) for k, t in items], "item_id long, text string, doc_id int")
